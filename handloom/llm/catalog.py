@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from handloom.llm import cooccurrence, heavy_items, runs
+from handloom.llm import cooccurrence, heavy_items, mix, runs, tokenise
+from handloom.runtime import materialise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -164,3 +165,40 @@ def p6_events(spark, folder):
     return _runs(spark, folder).select(
         "kind", "file", "hand", "first_idx", F.col("n").alias("n_frames"), (F.col("last_idx") - F.col("first_idx") + 1).alias("duration")
     )
+
+
+# ---- encoding of the whole corpus
+
+
+@query()
+def p7_ids(spark, folder):
+    return tokenise.token_ids(table(spark, folder, "documents"), "doc_id", "text")
+
+
+@query("select doc_id, true as same from documents")
+def p7_decoded(spark, folder):
+    return tokenise.decoded_right(table(spark, folder, "documents"), "doc_id", "text")
+
+
+# ---- mixing sources to target weights
+
+
+def _sized(spark, folder):
+    targets = table(spark, folder, "mix_targets")
+    return materialise(mix.sized_documents(table(spark, folder, "documents"), targets), "sized"), targets
+
+
+@query()
+def p8_found(spark, folder):
+    return mix.reached(*_sized(spark, folder)).filter("missed").select("source")
+
+
+@query()
+def p8_mix(spark, folder):
+    return mix.mix(*_sized(spark, folder))
+
+
+@query()
+def p8_shares(spark, folder):
+    sized, targets = _sized(spark, folder)
+    return mix.shares(materialise(mix.mix(sized, targets), "mix"), targets)
