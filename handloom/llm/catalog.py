@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from handloom.llm import cooccurrence, heavy_items, mix, runs, tokenise
+from handloom.llm import cooccurrence, heavy_items, mix, runs, subjects, tokenise
 from handloom.runtime import materialise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -202,3 +202,26 @@ def p8_mix(spark, folder):
 def p8_shares(spark, folder):
     sized, targets = _sized(spark, folder)
     return mix.shares(materialise(mix.mix(sized, targets), "mix"), targets)
+
+
+# ---- subject area of each document
+
+
+def _subjects(spark, folder):
+    docs = table(spark, folder, "documents")
+    rules = subjects.learn(docs, table(spark, folder, "subject_labels"), table(spark, folder, "subject_areas"))
+    return subjects.area_shares(docs, rules)
+
+
+@query()
+def p9_found(spark, folder):
+    return _subjects(spark, folder).filter(F.col("n_cues") >= subjects.SHARE * F.col("n_spoken")).select("doc_id", "subject").distinct()
+
+
+@query()
+def p9_composition(spark, folder):
+    """Documents and spoken cues of each area."""
+    every = _subjects(spark, folder)
+    return every.groupBy("subject").agg(
+        F.count_if(F.col("n_cues") >= subjects.SHARE * F.col("n_spoken")).alias("n_documents"), F.sum("n_cues").alias("n_cues")
+    )
