@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from handloom.llm import cooccurrence, heavy_items, mix, runs, subjects, tokenise
+from handloom.llm import cooccurrence, heavy_items, mix, pivot_clusters, runs, subjects, tokenise
 from handloom.runtime import materialise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -225,3 +225,38 @@ def p9_composition(spark, folder):
     return every.groupBy("subject").agg(
         F.count_if(F.col("n_cues") >= subjects.SHARE * F.col("n_spoken")).alias("n_documents"), F.sum("n_cues").alias("n_cues")
     )
+
+
+# ---- similarity clusters
+
+_CLUSTER_SQL = """
+with recursive h as (select feature_id, any_value(aligned) as aligned from hand_features group by feature_id),
+f as (select feature_id, list_transform(aligned, lambda v: v::double) as a from h where len(aligned) = 63),
+g as (
+  select feature_id, a, sqrt(a[28] * a[28] + a[29] * a[29] + a[30] * a[30]) as u from f
+  where len(list_filter(a, lambda v: v is null or not isfinite(v))) = 0 and len(list_filter(a, lambda v: v <> 0)) > 0),
+p as (select feature_id as id, cast(list_transform(a, lambda v: v / u) as double[63]) as v from g where u > 0),
+e as (select x.id as a, y.id as b from p x join p y on x.id <> y.id and array_distance(x.v, y.v) <= 0.12),
+c(id, root) as (
+  select id, id from p
+  union
+  select e.b, c.root from c join e on e.a = c.id where c.root < e.b),
+m as (select id, min(root) as cluster_id from c group by id)
+"""
+
+
+def _clusters(spark, folder):
+    return pivot_clusters.clusters(table(spark, folder, "hand_features"))
+
+
+@query(
+    _CLUSTER_SQL
+    + "select id as feature_id, cluster_id from m where cluster_id in (select cluster_id from m group by cluster_id having count(*) >= 3)"
+)
+def p4_found(spark, folder):
+    return _clusters(spark, folder).select(F.col("id").alias("feature_id"), "cluster_id")
+
+
+@query()
+def p4_clusters(spark, folder):
+    return pivot_clusters.described(materialise(_clusters(spark, folder), "clusters"))

@@ -24,3 +24,9 @@ def scaled_poses(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     good = np.isfinite(m).all(axis=1) & (m != 0).any(axis=1) & (unit > 0)
     ok[np.nonzero(ok)[0][~good]] = False
     return ok, m[good] / unit[good][:, None]
+
+
+def lists(matrix: np.ndarray, kind=pa.float64()) -> pa.ListArray:
+    """Rows of a matrix as a list column."""
+    ends = pa.array(np.arange(len(matrix) + 1, dtype=np.int32) * matrix.shape[1])
+    return pa.ListArray.from_arrays(ends, pa.array(matrix.ravel(), kind))
