@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from handloom.functions import vec
 from handloom.functions.codes import BEND_BITS
@@ -29,15 +35,92 @@ def _doubles(df: DataFrame, pose: str) -> tuple[DataFrame, str]:
     return df.withColumn(name, F.col(pose).cast("array<double>")), name
 
 
-def _angle(u: vec.Vec, v: vec.Vec) -> Column:
-    return vec.acos_degrees(vec.dot(u, v) / (vec.norm(u) * vec.norm(v) + F.lit(1e-12)))
+def _added(df: DataFrame, make: Callable[[pa.RecordBatch], list[pa.Array]], fields: str) -> DataFrame:
+    """``df`` with the columns that ``make`` gives for a batch; they replace columns of the same names.
+
+    Thirteen angles and 66 bits as column expressions outgrow what the JVM compiles into one method and take seconds to
+    plan, and filters pushed into them repeat them; over Arrow batches they are a few array operations.
+    """
+    new = StructType.fromDDL(fields)
+    taken = {f.name.lower() for f in new}
+    old = [f for f in df.schema if f.name.lower() not in taken]
+    names = [f.name for f in old]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), *make(b)], [*names, *new.fieldNames()])
+
+    return df.mapInArrow(work, StructType([*old, *new]))
+
+
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    """Rows of a list column; a null row, a null entry or another length gives NaN."""
+    fits = pc.fill_null(pc.equal(pc.list_value_length(column), width), False)
+    out = np.full((len(column), width), np.nan)
+    flat = pc.list_flatten(column.filter(fits)).to_numpy(zero_copy_only=False)
+    out[fits.to_numpy(zero_copy_only=False).astype(bool)] = flat.astype(np.float64).reshape(-1, width)
+    return out
+
+
+def _lists(m: np.ndarray, kind: pa.DataType) -> pa.Array:
+    flat = m.ravel()
+    values = pa.array(flat.astype(kind.to_pandas_dtype()), kind, mask=np.isnan(flat))
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]), values)
+
 
+def _dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return a[..., 0] * b[..., 0] + a[..., 1] * b[..., 1] + a[..., 2] * b[..., 2]
 
-def _signed_spread(p: Column) -> Column:
-    thumb, index, little = (vec.unit(vec.sub(vec.landmark(p, m), vec.landmark(p, 0)), 1e-8) for m in SIGNED)
-    side = vec.dot(vec.cross(thumb, index), vec.cross(index, little))
-    size = vec.acos_degrees(vec.dot(index, thumb))
-    return F.when(~F.isnan(side) & (side >= 0), size).otherwise(-size)
+
+def _norm(a: np.ndarray) -> np.ndarray:
+    return np.sqrt(_dot(a, a))
+
+
+def _unit(a: np.ndarray, eps: float) -> np.ndarray:
+    return a / (_norm(a) + eps)[..., None]
+
+
+def _degrees(cosine: np.ndarray) -> np.ndarray:
+    out = np.degrees(np.arccos(np.clip(cosine, -1.0, 1.0)))
+    return np.where(np.isfinite(out), out, np.nan)
+
+
+def thetas(poses: np.ndarray) -> np.ndarray:
+    """13 angles of each of n poses of 63 values; NaN where a landmark is not finite."""
+    with np.errstate(all="ignore"):
+        at = poses.reshape(-1, 21, 3)
+        a, b, c = (at[:, [t[i] for t in BENDING]] for i in range(3))
+        u, v = a - b, c - b
+        bends = _degrees(_dot(u, v) / (_norm(u) * _norm(v) + 1e-12))
+        thumb, index, little = (_unit(at[:, m] - at[:, 0], 1e-8) for m in SIGNED)
+        side = _dot(np.cross(thumb, index), np.cross(index, little))
+        signed = np.where(side >= 0, 1.0, -1.0) * _degrees(_dot(index, thumb))
+        p, q = (at[:, [t[i] for t in SPREAD]] for i in range(2))
+        spreads = _degrees(_dot(p, q) / (_norm(p) * _norm(q) + 1e-12))
+    return np.hstack([bends, signed[:, None], spreads])
+
+
+def code_bits(theta: np.ndarray) -> np.ndarray:
+    """66 bits of each row of angles; NaN sets none."""
+    n = len(BENDING)
+    parts = []
+    for x, states in ((theta[:, :n], BENDING_STATES), (theta[:, n:], SPREAD_STATES)):
+        low, high = np.array(states).T
+        parts.append(((x[:, :, None] >= low) & (x[:, :, None] < high)).reshape(len(x), -1))
+    return np.hstack([*parts, (theta[:, n] < 0)[:, None]])
+
+
+def _code_columns(theta: np.ndarray) -> list[pa.Array]:
+    bits = code_bits(theta)
+    size = bits.shape[1]
+    text = pa.py_buffer((bits.astype(np.uint8) + ord("0")).tobytes())
+    ends = pa.py_buffer((np.arange(len(bits) + 1, dtype=np.int32) * size).tobytes())
+    bend = bits[:, :BEND_BITS] @ (np.int64(1) << np.arange(BEND_BITS, dtype=np.int64))
+    spread = bits[:, BEND_BITS:] @ (np.int64(1) << np.arange(size - BEND_BITS, dtype=np.int64))
+    return [pa.StringArray.from_buffers(len(bits), ends, text), pa.array(bend.astype(np.int64)), pa.array(spread.astype(np.int64))]
+
+
+CODE_FIELDS = "code string, m_bend bigint, m_spread bigint"
 
 
 def with_theta(df: DataFrame, pose: str = "aligned", name: str = "theta") -> DataFrame:
@@ -45,32 +128,22 @@ def with_theta(df: DataFrame, pose: str = "aligned", name: str = "theta") -> Dat
 
     A bone without length makes an angle of 90. Angles are computed in double.
     """
-    staged, p = _doubles(df, pose)
-    at = lambda m: vec.landmark(F.col(p), m)
-    bends = [_angle(vec.sub(at(a), at(b)), vec.sub(at(c), at(b))) for a, b, c in BENDING]
-    spreads = [_signed_spread(F.col(p)), *(_angle(at(a), at(b)) for a, b in SPREAD)]
-    return staged.withColumn(name, vec.pack(*bends, *spreads)).drop(p)
+    return _added(df, lambda b: [_lists(thetas(_matrix(b.column(pose), 63)), pa.float64())], f"{name} array<double>")
 
 
 def with_code(df: DataFrame, theta: str = "theta") -> DataFrame:
     """``df`` with ``code``, ``m_bend`` and ``m_spread`` of 13 angles. A null angle sets no bit."""
-    bits = []
-    for i in range(N_ANGLES):
-        x = F.get(theta, F.lit(i))
-        states = BENDING_STATES if i < len(BENDING) else SPREAD_STATES
-        bits += [F.coalesce((x >= lo) & (x < hi), F.lit(False)) for lo, hi in states]
-    bits.append(F.coalesce(F.get(theta, F.lit(len(BENDING))) < 0, F.lit(False)))
-    flags = free_name(df.columns, "bits")
-    staged = df.withColumn(flags, vec.pack(*bits))
+    return _added(df, lambda b: _code_columns(_matrix(b.column(theta), N_ANGLES)), CODE_FIELDS)
+
 
-    def mask(first: int, last: int) -> Column:
-        out = F.lit(0).cast("bigint")
-        for i in range(first, last):
-            out = out.bitwiseOR(F.when(F.get(flags, F.lit(i)), F.lit(1 << (i - first)).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
-        return out
+def with_theta_and_code(df: DataFrame, pose: str = "aligned") -> DataFrame:
+    """Both in one pass."""
 
-    code = F.concat(*(F.when(F.get(flags, F.lit(i)), F.lit("1")).otherwise(F.lit("0")) for i in range(len(bits))))
-    return staged.withColumns({"code": code, "m_bend": mask(0, BEND_BITS), "m_spread": mask(BEND_BITS, len(bits))}).drop(flags)
+    def make(b: pa.RecordBatch) -> list[pa.Array]:
+        theta = thetas(_matrix(b.column(pose), 63))
+        return [_lists(theta, pa.float64()), *_code_columns(theta)]
+
+    return _added(df, make, f"theta array<double>, {CODE_FIELDS}")
 
 
 def out_of_range(theta: str = "theta") -> Column:
@@ -137,28 +210,31 @@ def flip_handedness(raw: Column) -> Column:
     return F.when(raw == "Right", "Left").otherwise("Right")
 
 
-def with_basis(df: DataFrame, pose: str, handedness: str) -> DataFrame:
-    """``df`` with unit vectors ``x_vec, y_vec, z_vec`` of a centred pose: z is the palm's normal, y points along the hand.
+def basis(points: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Unit x, y and z of n poses (n, 21, 3): z is the palm's normal, y points along the hand.
 
-    For Right z and x are turned round, which makes the basis left-handed; labels by ``hand`` are thus the opposite.
+    For right hands z and x are turned round, which makes the basis left-handed; labels by ``hand`` are thus the opposite.
     """
-    staged, p = _doubles(df, pose)
-    at = lambda m: vec.landmark(F.col(p), m)
-    right = F.coalesce(F.col(handedness) == "Right", F.lit(False))
-    turn = F.when(right, F.lit(-1.0)).otherwise(F.lit(1.0))
-    names = [free_name(staged.columns, n) for n in ("bz", "bt", "bx", "by")]
+    with np.errstate(all="ignore"):
+        turn = np.where(right, -1.0, 1.0)[:, None]
+        wrist = points[:, 0]
+        z = _unit(np.cross(points[:, 5] - wrist, points[:, 17] - wrist), 1e-8) * turn
+        x = _unit(np.cross(_unit(points[:, 9] - wrist, 1e-8), z), 1e-8)
+        return x * turn, _unit(np.cross(z, x), 1e-8), z
 
-    def stage(df: DataFrame, name: str, v: vec.Vec) -> DataFrame:
-        return df.withColumn(name, vec.pack(*v))
 
-    z, along, x, y = (tuple(F.get(n, F.lit(c)) for c in range(3)) for n in names)
-    normal = vec.cross(vec.sub(at(5), at(0)), vec.sub(at(17), at(0)))
-    staged = stage(staged, names[0], vec.scale(vec.unit(normal, 1e-8), turn))
-    staged = stage(staged, names[1], vec.unit(vec.sub(at(9), at(0)), 1e-8))
-    staged = stage(staged, names[2], vec.unit(vec.cross(along, z), 1e-8))
-    staged = stage(staged, names[3], vec.unit(vec.cross(z, x), 1e-8))
-    out = {"x_vec": vec.pack(*vec.scale(x, turn)), "y_vec": F.col(names[3]), "z_vec": F.col(names[0])}
-    return staged.withColumns(out).drop(p, *names)
+def _is_right(column: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.equal(column, "Right"), False).to_numpy(zero_copy_only=False).astype(bool)
+
+
+def with_basis(df: DataFrame, pose: str, handedness: str) -> DataFrame:
+    """``df`` with the vectors ``x_vec, y_vec, z_vec`` of a centred pose."""
+
+    def make(b: pa.RecordBatch) -> list[pa.Array]:
+        points = _matrix(b.column(pose), 63).reshape(-1, 21, 3)
+        return [_lists(v, pa.float64()) for v in basis(points, _is_right(b.column(handedness)))]
+
+    return _added(df, make, "x_vec array<double>, y_vec array<double>, z_vec array<double>")
 
 
 def align(df: DataFrame, landmarks: str, handedness: str, width: str, height: str) -> DataFrame:
@@ -166,21 +242,21 @@ def align(df: DataFrame, landmarks: str, handedness: str, width: str, height: st
 
     Centred on landmark 0, divided by the length of landmark 9 if it has one, turned into the basis; outputs are float.
     """
-    staged, p = _doubles(df, landmarks)
-    at = lambda m: vec.landmark(F.col(p), m)
-    far = free_name(staged.columns, "far")
-    staged = staged.withColumn(far, vec.norm(vec.sub(at(9), at(0))))
-    size = F.when(F.col(far) > 0, F.col(far)).otherwise(F.lit(1.0))
-    centred = free_name(staged.columns, "centred")
-    staged = staged.withColumn(centred, vec.pack(*(x for m in range(21) for x in vec.over(vec.sub(at(m), at(0)), size))))
-    staged = with_basis(staged, centred, handedness)
-    axes = [vec.vector(F.col(c)) for c in ("x_vec", "y_vec", "z_vec")]
-    turned = [vec.dot(vec.landmark(F.col(centred), m), axis).cast("float") for m in range(21) for axis in axes]
-    w, h = F.col(width), F.col(height)
-    wrist = [c.cast("float") for c in (at(0)[0] * w, at(0)[1] * h, at(0)[2] * w)]
-    out = {"wrist_px": F.array(*wrist), "aligned": vec.pack(*turned)}
-    out |= {c: F.col(c).cast("array<float>") for c in ("x_vec", "y_vec", "z_vec")}
-    return staged.withColumns(out).drop(p, far, centred)
+
+    def make(b: pa.RecordBatch) -> list[pa.Array]:
+        raw = _matrix(b.column(landmarks), 63).reshape(-1, 21, 3)
+        w, h = (b.column(c).to_numpy(zero_copy_only=False).astype(float) for c in (width, height))
+        with np.errstate(all="ignore"):
+            points = raw - raw[:, :1]
+            far = _norm(points[:, 9])
+            points = points / np.where(far > 0, far, 1.0)[:, None, None]
+            axes = basis(points, _is_right(b.column(handedness)))
+            turned = np.stack([_dot(points, v[:, None]) for v in axes], axis=2)
+        wrist = raw[:, 0] * np.stack([w, h, w], axis=1)
+        return [_lists(m, pa.float32()) for m in (wrist, turned.reshape(-1, 63), *axes)]
+
+    kinds = ", ".join(f"{n} array<float>" for n in ("wrist_px", "aligned", "x_vec", "y_vec", "z_vec"))
+    return _added(df, make, kinds)
 
 
 def state_names(code: Column, angle: int) -> Column:

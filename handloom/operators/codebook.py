@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from handloom.functions.codes import masks
-from handloom.functions.pose import all_state_names, with_code, with_theta
-from handloom.runtime import free_name
+from handloom.functions.pose import all_state_names, with_theta_and_code
+from handloom.runtime import free_name, materialise
 
 #: A model of more classes than this is refused where it would be sent to all tasks.
 MOST_CLASSES = 1 << 16
@@ -19,12 +19,15 @@ MOST_CLASSES = 1 << 16
 
 def encode(frames: DataFrame, pose: str = "aligned") -> DataFrame:
     """``frames`` with theta, code, m_bend and m_spread."""
-    return with_code(with_theta(frames, pose))
+    return with_theta_and_code(frames, pose)
 
 
 def code_frequency(codes: DataFrame) -> DataFrame:
-    """``(code, cnt, first_file, first_idx)``: frames of each code and where it comes first, by file and frame_idx."""
-    seen = codes.filter("code is not null").groupBy("code").agg(
+    """``(code, cnt, first_file, first_idx)``: frames of each code and where it comes first, by file and frame_idx.
+
+    Codes made by ``encode`` are never null; a null code from elsewhere is a code of its own.
+    """
+    seen = codes.groupBy("code").agg(
         F.count(F.lit(1)).alias("cnt"), F.min(F.struct("file", "frame_idx")).alias("first")
     )
     return seen.select("code", "cnt", F.col("first.file").alias("first_file"), F.col("first.frame_idx").alias("first_idx"))
@@ -97,6 +100,7 @@ def best_overlap(unknown: DataFrame, model: DataFrame) -> DataFrame:
 
 def predict(codes: DataFrame, model: DataFrame, name: str = "token") -> DataFrame:
     """``codes`` with a token for every code: its label, or that of the class with the best overlap. Null codes get null."""
+    codes = materialise(codes, "codes")  # read twice
     known = model.select("code", F.col("label").cast("int").alias(name))
     guessed = best_overlap(out_of_model(codes, model), model).select("code", F.col("token").alias(name))
     every = known.unionByName(guessed)

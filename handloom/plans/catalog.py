@@ -205,7 +205,7 @@ def _aligned_sql() -> str:
     outs = ", ".join(
         f"{o.dot([f'l[3 * m + {c + 1}]' for c in range(3)], axis)} as {n}" for n, axis in zip(("px", "py", "pz"), axes, strict=True)
     )
-    rounded = ", ".join(f"case when not isnan({n}) then round({n}, 4) + 0.0 end as {n[1]}" for n in ("px", "py", "pz"))
+    rounded = ", ".join(f"case when not isnan({n}) then round({n} * pi(), 4) + 0.0 end as {n[1]}" for n in ("px", "py", "pz"))
     return f"""with {o.FEATURES}, {o.DOUBLES}, e as (select *, {far} as d, {_SIDE} from f),
 e2 as (select *, case when d > 0 then d else 1.0 end as s from e), g as (select *, [{centred}] as l from e2 where len(a) = 63),
 {_basis_sql('l')}, m as (select *, unnest(range(21)) as m from b3), q as (select feature_id, m as landmark, {outs} from m)
@@ -217,7 +217,8 @@ def aligned_pose(spark, folder):
     raw = _sided(spark, folder).filter("size(aligned) = 63").select("feature_id", "side", F.col("aligned").alias("raw"))
     found = pose.align(raw.withColumns({"w": F.lit(640), "h": F.lit(480)}), "raw", "side", "w", "h")
     points = found.select("feature_id", "aligned", F.explode(F.sequence(F.lit(0), F.lit(20))).alias("landmark"))
-    value = lambda c: F.get("aligned", F.col("landmark") * 3 + c).cast("double")
+    # in half turns, since poses on a binary grid would be rounded right at ties
+    value = lambda c: F.get("aligned", F.col("landmark") * 3 + c).cast("double") * F.pi()
     return points.select(
         "feature_id", "landmark", *(F.when(~F.isnan(value(c)), F.round(value(c), 4) + F.lit(0.0)).alias(n) for c, n in enumerate("xyz"))
     )
@@ -282,7 +283,8 @@ def token_lookup(spark, folder):
 @query(f"with {o.FRAMES}, {o.theta_ctes()}, {o.code_ctes()}, {o.PREDICT} select code, token, overlap from bo")
 def token_oov_fallback(spark, folder):
     model = table(spark, folder, "model")
-    return codebook.best_overlap(codebook.out_of_model(_codes(spark, folder), model), model)
+    coded = materialise(_codes(spark, folder).select("code", "m_bend", "m_spread"), "codes")
+    return codebook.best_overlap(codebook.out_of_model(coded, model), model)
 
 
 @query(f"with {o.FRAMES}, {o.theta_ctes()}, {o.code_ctes()}, {o.PREDICT} select file, frame_idx, token from pr")
@@ -297,14 +299,14 @@ def token_predict(spark, folder):
     from tk left join sm on sm.code = tk.code and sample <= 3 where label < 20"""
 )
 def class_samples(spark, folder):
-    coded = _codes(spark, folder)
+    coded = materialise(_codes(spark, folder), "codes")
     top = codebook.histogram(codebook.train(coded, 256), 20)
     return codebook.samples(coded, top).select("rnk", "label", "sample", "file", "frame_idx")
 
 
 @query()
 def class_report(spark, folder):
-    coded = _codes(spark, folder)
+    coded = materialise(_codes(spark, folder), "codes")
     return pipeline.report(coded, codebook.train(coded, 256), 20)
 
 
