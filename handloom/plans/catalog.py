@@ -205,23 +205,21 @@ def _aligned_sql() -> str:
     outs = ", ".join(
         f"{o.dot([f'l[3 * m + {c + 1}]' for c in range(3)], axis)} as {n}" for n, axis in zip(("px", "py", "pz"), axes, strict=True)
     )
-    rounded = ", ".join(f"case when not isnan({n}) then round({n} * pi(), 4) + 0.0 end as {n[1]}" for n in ("px", "py", "pz"))
+    rounded = ", ".join(f"cast(cast({n} as float) as double) + 0.0 as {n[1]}" for n in ("px", "py", "pz"))
     return f"""with {o.FEATURES}, {o.DOUBLES}, e as (select *, {far} as d, {_SIDE} from f),
-e2 as (select *, case when d > 0 then d else 1.0 end as s from e), g as (select *, [{centred}] as l from e2 where len(a) = 63),
+e2 as (select *, case when d > 0 then d else 1.0 end as s from e where len(a) = 63 and len(list_filter(a, lambda v: v is null or not isfinite(v))) = 0),
+g as (select *, [{centred}] as l from e2),
 {_basis_sql('l')}, m as (select *, unnest(range(21)) as m from b3), q as (select feature_id, m as landmark, {outs} from m)
 select feature_id, cast(landmark as int) as landmark, {rounded} from q"""
 
 
 @query(_aligned_sql())
 def aligned_pose(spark, folder):
-    raw = _sided(spark, folder).filter("size(aligned) = 63").select("feature_id", "side", F.col("aligned").alias("raw"))
+    raw = _sided(spark, folder).filter(reduce.finite("aligned")).select("feature_id", "side", F.col("aligned").alias("raw"))
     found = pose.align(raw.withColumns({"w": F.lit(640), "h": F.lit(480)}), "raw", "side", "w", "h")
     points = found.select("feature_id", "aligned", F.explode(F.sequence(F.lit(0), F.lit(20))).alias("landmark"))
-    # in half turns, since poses on a binary grid would be rounded right at ties
-    value = lambda c: F.get("aligned", F.col("landmark") * 3 + c).cast("double") * F.pi()
-    return points.select(
-        "feature_id", "landmark", *(F.when(~F.isnan(value(c)), F.round(value(c), 4) + F.lit(0.0)).alias(n) for c, n in enumerate("xyz"))
-    )
+    values = [(F.get("aligned", F.col("landmark") * 3 + c).cast("double") + F.lit(0.0)).alias(n) for c, n in enumerate("xyz")]
+    return points.select("feature_id", "landmark", *values)
 
 
 # ---- sources, filters, metadata
