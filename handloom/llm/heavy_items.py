@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from handloom.functions.codes import masks, plain_code
+from handloom.functions.codes import legacy_code, masks, plain_code
 from handloom.runtime import materialise
 
 SYMBOLS, DATA, LENGTH = 64, 11, 15
@@ -132,6 +132,13 @@ def usable_counts(rows: DataFrame) -> DataFrame:
     )
 
 
+def written_as(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows whose text is one of the wanted codes in either form: a comparison of texts, nothing is decoded."""
+    m = F.col("m_bend"), F.col("m_spread")
+    forms = wanted.select(F.explode(F.array(plain_code(*m), legacy_code(*m))).alias("bitstring"))
+    return rows.join(F.broadcast(forms), "bitstring", "left_semi")  # two texts for each of a bounded number of candidates
+
+
 def once(counts: DataFrame) -> DataFrame:
     """Each (file, code) once. Deliveries that differ count with the greater cnt."""
     return counts.groupBy("file", "m_bend", "m_spread").agg(F.max("cnt").alias("cnt"))
@@ -220,9 +227,9 @@ def heavy_codes(rows: DataFrame, share: float) -> DataFrame:
     """
     groups = 1 << int(np.ceil(np.log2(4 / share)))
     raw = usable_counts(rows)
-    region, total, parts = raw, None, []
+    inside, total, parts = F.lit(True), None, []
     for turn in range(ROUNDS):
-        seen = materialise(counters(once(region), groups, turn), "counters")
+        seen = materialise(counters(once(raw.filter(inside)), groups, turn), "counters")
         sums = seen.filter("pos = -1")
         if total is None:
             total = int(sums.filter("rep = 0").agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0])
@@ -230,13 +237,13 @@ def heavy_codes(rows: DataFrame, share: float) -> DataFrame:
                 break
         wanted = materialise(candidates(seen, share * total / 2), "candidates")
         exact = materialise(
-            once(region.join(F.broadcast(wanted), ["m_bend", "m_spread"], "left_semi"))
+            once(usable_counts(written_as(rows, wanted)))
             .groupBy("m_bend", "m_spread")
             .agg(F.sum("cnt").alias("frames")),
             "exact",
         )
         parts.append(exact)
-        known = exact.select(
+        known = exact.filter(inside).select(
             F.col("frames"), F.posexplode(F.array(*(_group(s, groups) for s in _seeds(turn)))).alias("rep", "grp")
         )
         known = known.groupBy("rep", "grp").agg(F.sum("frames").alias("found"))
@@ -247,9 +254,9 @@ def heavy_codes(rows: DataFrame, share: float) -> DataFrame:
         if not all(open_groups):
             break
         for s, gs in zip(_seeds(turn), open_groups, strict=True):
-            region = region.filter(_group(s, groups).isin(gs))
+            inside &= _group(s, groups).isin(gs)
     else:
-        parts.append(once(region).groupBy("m_bend", "m_spread").agg(F.sum("cnt").alias("frames")))
+        parts.append(once(raw.filter(inside)).groupBy("m_bend", "m_spread").agg(F.sum("cnt").alias("frames")))
     spark = rows.sparkSession
     if not parts:
         found = spark.createDataFrame([], "m_bend bigint, m_spread bigint, frames bigint")
