@@ -144,11 +144,12 @@ def _groups(values: np.ndarray) -> Iterator[np.ndarray]:
     yield from np.split(order, cuts) if len(order) else ()
 
 
-def meet(left: DataFrame, right: DataFrame, grid: Grid, kernel: Kernel, schema: str) -> DataFrame:
+def meet(left: DataFrame, right: DataFrame, grid: Grid, kernel: Kernel, schema: str, gather=lambda df: df) -> DataFrame:
     """``kernel`` over all that may be near: rows of ``left`` (id, pose, cell, ...) and of ``right`` (id, pose, radius, ...).
 
     Each left row sees every right row whose radius reaches it at least once; in blocks if a cell is crowded, so results
-    of a left row may come in parts. The kernel gets (left rows, their matrix, right rows, their matrix).
+    of a left row may come in parts; ``gather`` then puts them together. The kernel gets (left rows, their matrix, right
+    rows, their matrix).
     """
     lcols, rcols = [c for c in left.columns if c != "cell"], right.columns
     n = right.limit(SMALL + 1).count()
@@ -230,7 +231,8 @@ def meet(left: DataFrame, right: DataFrame, grid: Grid, kernel: Kernel, schema:
         if held:
             yield from work(pa.concat_tables(held))
 
-    return both.mapInArrow(together, schema)
+    found = both.mapInArrow(together, schema)
+    return gather(found) if rcut else found
 
 
 def _closest(lt: pa.Table, lm: np.ndarray, rt: pa.Table, rm: np.ndarray) -> pa.Table:
@@ -298,7 +300,7 @@ def _one_each(matched: DataFrame) -> DataFrame:
 
 def _assign(points: DataFrame, pivots: DataFrame, grid: Grid) -> DataFrame:
     near = pivots.select("id", "pose", F.lit(LIMIT).alias("radius"))
-    return _one_each(meet(points.select("id", "pose", F.col("home"), F.col("home").alias("cell")), near, grid, _closest, CLOSEST))
+    return meet(points.select("id", "pose", "home", F.col("home").alias("cell")), near, grid, _closest, CLOSEST, _one_each)
 
 
 def pivot_clusters(points: DataFrame, grid: Grid) -> DataFrame:
