@@ -55,17 +55,21 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return values.reshape(len(column), -1) if len(column) else values.reshape(0, 1)
 
 
-def _merged(table: pa.Table, limit: float, gap: int, bits: int, least: int) -> pa.RecordBatch:
-    """Runs of the sorted runs in ``table``; groups (file, hand, grp) in it are whole."""
+def _merged(table: pa.Table, limit: float, gap: int, bits: int, span: int, least: int) -> pa.RecordBatch:
+    """Runs of the sorted runs in ``table``; groups (file, hand, grp) in it are whole.
+
+    Runs of one group of the level below do not join here: they did not there, and others may have been between them.
+    """
     first, last, n = (table.column(c).to_numpy() for c in ("first_idx", "last_idx", "n"))
     head, tail = _matrix(table.column("head").combine_chunks()), _matrix(table.column("tail").combine_chunks())
     keys = [table.column(c).combine_chunks() for c in ("file", "hand", "grp")]
     same = np.ones(max(len(first) - 1, 0), bool)
     for k in keys:
-        code = k.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        code = pc.fill_null(k.dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
         same &= code[1:] == code[:-1]
     distance = np.sqrt(((tail[:-1] - head[1:]) ** 2).sum(axis=1))
-    run = agglomerate(same & (first[1:] - last[:-1] <= gap) & (distance <= limit), distance)
+    apart = (last[:-1] >> (bits - span)) != (first[1:] >> (bits - span))
+    run = agglomerate(same & apart & (first[1:] - last[:-1] <= gap) & (distance <= limit), distance)
     starts = np.nonzero(run == np.arange(len(run)))[0]
     ends = np.append(starts[1:], len(run)) - 1
     begins, stops = np.append(True, ~same)[starts], np.append(~same, True)[ends]
@@ -75,7 +79,7 @@ def _merged(table: pa.Table, limit: float, gap: int, bits: int, least: int) -> p
     size = np.add.reduceat(n, starts)
     keep = goes_on | (size >= least)
     s, e = starts[keep], ends[keep]
-    columns = [keys[0].take(pa.array(s)), keys[1].take(pa.array(s)), pa.array(grp[keep] >> SPAN_BITS), pa.array(first[s]), pa.array(last[e]), pa.array(size[keep])]
+    columns = [keys[0].take(pa.array(s)), keys[1].take(pa.array(s)), pa.array(grp[keep] >> span), pa.array(first[s]), pa.array(last[e]), pa.array(size[keep])]
     lists = [pa.ListArray.from_arrays(np.arange(len(s) + 1, dtype=np.int32) * m.shape[1], m.ravel()) for m in (head[s], tail[e])]
     return pa.RecordBatch.from_arrays(
         [*columns, *lists, pa.array(goes_on[keep])],
@@ -112,9 +116,11 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], prepare: Callable[[pa.Recor
 def _level(runs: DataFrame, prepare, limit: float, gap: int, bits: int, least: int) -> DataFrame:
     sorted_runs = runs.repartition("file", "hand", "grp").sortWithinPartitions("file", "hand", "grp", "first_idx")
 
+    span = SPAN_BITS
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _whole_groups(batches, prepare):
-            yield _merged(t, limit, gap, bits, least)
+            yield _merged(t, limit, gap, bits, span, least)
 
     return sorted_runs.mapInArrow(work, RUN_SCHEMA)
 
