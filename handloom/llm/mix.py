@@ -32,25 +32,31 @@ def sized_documents(docs: DataFrame, targets: DataFrame, path: str | None = None
     return token_counts(ours, "who", "text", path).select("who.doc_id", "who.source", "n_tokens")
 
 
+def _goals(targets: DataFrame) -> DataFrame:
+    """``(source, target_share, max_repeats)``, each named source once: the greatest share and repeats it is given."""
+    named = targets.select(clean_source("source").alias("source"), "target_share", "max_repeats").filter("source is not null")
+    return named.groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
+
+
 def _buckets(rows: int) -> int:
     return 1 << max(0, (rows // RANGE_ROWS).bit_length())
 
 
-def schedule(sized: DataFrame, targets: DataFrame) -> DataFrame:
+def schedule(sized: DataFrame, targets: DataFrame, budget: int | None = None) -> DataFrame:
     """``(doc_id, source, copy, n_tokens, served, finish)`` for every copy that may be used.
 
-    ``served`` counts the source's tokens up to and with this copy, ``finish`` is that over the target share. ``sized`` is
+    ``served`` counts the source's tokens up to and with this copy, ``finish`` is that over the target share. With a
+    ``budget``, rounds of a source that begin beyond it are not queued: its earlier rounds alone spend it. ``sized`` is
     read several times: pass it materialised.
     """
     n = sized.count()
-    goals = targets.select(clean_source("source").alias("source"), "target_share", "max_repeats").filter(
-        "target_share > 0 and max_repeats > 0"
-    )
+    goals = _goals(targets).filter("target_share > 0 and max_repeats > 0")
     supply = sized.groupBy("source").agg(F.sum("n_tokens").alias("supply"))
     copies = (
         sized.join(goals, "source")
         .join(supply, "source")
         .withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("max_repeats") - 1)))
+        .filter(F.lit(True) if budget is None else F.col("copy") * F.col("supply") <= budget)
         .withColumn("place", F.xxhash64(F.lit(SEED), "copy", "doc_id"))
     )
     buckets = _buckets(n)
@@ -70,17 +76,18 @@ def mix(sized: DataFrame, targets: DataFrame, budget: int | None = None) -> Data
     The budget is by default the tokens of all documents of the sources in ``targets``; the last document fits whole.
 
     * null or other sources: left aside; null and empty texts: no tokens, they take a place but no room;
-    * a share or a number of repeats that is null or not positive: that source is left out;
+    * a share or a number of repeats that is null or not positive: that source is left out; a source that ``targets``
+      names again: once, with the greatest share and repeats;
     * repeated doc_ids: documents of their own; equal finish times: by source, copy, then doc_id;
     * empty input: no row; further columns are not carried on.
     """
     if budget is None:
         budget = sized.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
-    planned = materialise(schedule(sized, targets), "schedule")
-    rows, longest = planned.agg(F.count(F.lit(1)), F.coalesce(F.max("finish"), F.lit(0.0))).first()
-    width = max(longest / _buckets(rows), 1e-9)
+    planned = materialise(schedule(sized, targets, budget), "schedule")
     order = [F.col(c) for c in ("finish", "source", "copy", "doc_id")]
-    placed = running_total(planned, [], F.floor(F.col("finish") / width), order, "n_tokens", "starts_at")
+    # ranges of sampled bounds hold about as many rows each, however unevenly the finish times lie
+    ranged = planned.repartitionByRange(_buckets(planned.count()), *order).withColumn("range", F.spark_partition_id())
+    placed = running_total(materialise(ranged, "ranges"), [], F.col("range"), order, "n_tokens", "starts_at").drop("range")
     return placed.filter(F.col("starts_at") + F.col("n_tokens") <= budget).drop("served")
 
 
@@ -91,8 +98,7 @@ def reached(sized: DataFrame, targets: DataFrame) -> DataFrame:
     """
     total = sized.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
     queues = schedule(sized, targets).groupBy("source").agg(F.max("served").alias("available"))
-    goals = targets.select(clean_source("source").alias("source"), "target_share")
-    return goals.join(queues, "source", "left").select(
+    return _goals(targets).join(queues, "source", "left").select(
         "source",
         "target_share",
         F.coalesce("available", F.lit(0)).alias("available"),
@@ -105,9 +111,8 @@ def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     """``(source, target_share, n_documents, tokens, share)`` of a mix; ``mixed`` is read twice."""
     total = mixed.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
     have = mixed.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("t"))
-    goals = targets.select(clean_source("source").alias("source"), "target_share")
     tokens = F.coalesce("t", F.lit(0))
-    return goals.join(have, "source", "left").select(
+    return _goals(targets).join(have, "source", "left").select(
         "source",
         "target_share",
         F.coalesce("n", F.lit(0)).alias("n_documents"),

@@ -209,6 +209,22 @@ def test_missed_sources_against_the_definition(spark):
     docs = spark.createDataFrame([(1, "x y", "A "), (2, None, "b"), (3, "", None), (4, "z", "other")], "doc_id bigint, text string, source string")
     assert rows(mix.sized_documents(docs, targets).select("doc_id", "source", "n_tokens")) == [(1, "a", 2), (2, "b", 0)]
     assert mix.mix(sized.limit(0), targets).count() == 0
+    again = targets.unionByName(targets.withColumn("target_share", F.lit(0.05))).union(targets.selectExpr("null", "0.5", "1"))
+    assert rows(mix.reached(sized, again)) == rows(mix.reached(sized, targets))
+
+
+def test_unused_rounds_are_not_queued_and_change_nothing(spark):
+    _, sized, targets = _mix_input(spark)
+    many = targets.withColumn("max_repeats", F.lit(50))
+    budget = sized.agg(F.sum("n_tokens")).first()[0]
+    every = sorted(mix.schedule(sized, many).collect(), key=lambda r: (r.finish, r.source, r.copy, r.doc_id))
+    at, want = 0, []
+    for r in every:
+        if at + r.n_tokens <= budget:
+            want.append((r.doc_id, r.source, r.copy, at))
+        at += r.n_tokens
+    assert rows(mix.mix(sized, many).select("doc_id", "source", "copy", "starts_at")) == sorted(want, key=str)
+    assert mix.schedule(sized, many, budget).count() < len(every)
 
 
 # ---- clusters
