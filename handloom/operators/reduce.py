@@ -76,10 +76,15 @@ def per_group(df: DataFrame, group: str, key: str, reducer: Reducer, n: int = 2_
 
 
 def kmeans(df: DataFrame, key: str, k: int, cosines: bool = False, seed: int = 42) -> tuple[DataFrame, float]:
-    """``(key, cluster)`` and the cost. With ``cosines``: poses scaled to unit variance beside three times the bone cosines."""
+    """``(key, cluster)`` and the cost. With ``cosines``: poses scaled to unit variance beside three times the bone cosines.
+
+    Rows with a null, short or non-finite array are left out; without any other row there is no cluster and no cost.
+    """
     from handloom.functions.pose import with_bone_cosines
 
-    rows = df.filter(finite("aligned")).withColumn("pose", array_to_vector(F.col("aligned").cast("array<double>")))
+    rows = df.filter(finite("aligned")).select(key, "aligned", array_to_vector(F.col("aligned").cast("array<double>")).alias("pose"))
+    if rows.isEmpty():
+        return rows.select(key, F.lit(0).alias("cluster")), 0.0
     column = "pose"
     if cosines:
         rows = StandardScaler(withMean=True, withStd=True, inputCol="pose", outputCol="scaled").fit(rows).transform(rows)

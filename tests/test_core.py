@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from handloom.functions import codes, pose
-from handloom.operators import codebook, compaction, components, hot_keys, prefix, similarity, transitions
+from handloom.operators import codebook, compaction, components, hot_keys, prefix, reduce, similarity, transitions
 from handloom.plans import pipeline
 from handloom.runtime import fresh_path, materialise
 from handloom.sources import frames, models
@@ -256,3 +256,13 @@ def test_stream_adds_up(spark, tmp_path):
     accumulate.accumulate(stream, str(tmp_path / "t"), str(tmp_path / "c"), 1).awaitTermination()
     whole = transitions.count(spark.createDataFrame(tokens, kind), 1)
     assert rows(accumulate.accumulated(spark, str(tmp_path / "t"))) == rows(whole)
+
+
+def test_kmeans_without_usable_poses_and_with_clashing_columns(spark):
+    rng = np.random.default_rng(3)
+    data = [(i, [float(x) for x in rng.normal(10 * (i % 2), 0.1, 63)], "x", "y") for i in range(20)]
+    df = spark.createDataFrame(data + [(98, None, "x", "y"), (99, [1.0], "x", "y")], "id bigint, aligned array<float>, cluster string, pose string")
+    got, _ = reduce.kmeans(df, "id", 2)
+    of = dict(map(tuple, got.collect()))
+    assert sorted(of) == list(range(20)) and len({of[0], of[1]}) == 2 and all(of[i] == of[i % 2] for i in of)
+    assert reduce.kmeans(df.filter("id > 90"), "id", 2, cosines=True)[0].count() == 0
