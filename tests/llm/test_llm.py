@@ -1,6 +1,7 @@
 """Operators for training data on small inputs, against brute force."""
 
 import math
+import time
 from collections import Counter
 from itertools import combinations
 
@@ -296,6 +297,18 @@ def test_spoken_cues():
     assert subtitles.spoken_words(SUBTITLE.replace("\n", "\r\n")) == subtitles.spoken_words(SUBTITLE)
 
 
+def test_long_texts_are_read_once():
+    times = "1\n00:00:01,000 --> 00:00:02,000\n"
+    for piece in ("<", "{", "&lt;", "&lt;i", "<b> ", "A", "[ ", "\n", "00:", ". ", "x.", "1\n"):
+        text = times + piece * 300_000
+        began = time.time()
+        subtitles.spoken_words(text)
+        assert time.time() - began < 5, piece
+    assert subtitles.plain("a <i>b</i> {c} &lt;i&gt;d <e") == "a  b     d <e"
+    rules = subjects.Rules({}, {"w0": [(frozenset({"w0", "w9"}), "law", 0.9)]})
+    assert rules.area_of([f"w{i}" for i in range(200_000)]) == "law" and rules.area_of(["w0"]) is None
+
+
 def test_areas_of_held_out_documents(spark):
     rng = np.random.default_rng(8)
     terms = {"law": ["verdict", "plaintiff", "clause", "appeal"], "music": ["chorus", "violin", "tempo", "encore"]}
