@@ -16,7 +16,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from handloom.llm.poses import scaled_poses
@@ -182,16 +182,25 @@ def numbers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 poses = scaled_poses
 
 
+def usable_pose(pose: str) -> Column:
+    """63 finite values, landmark 9 (values 28 to 30, from 1) having a length."""
+    inside = (F.array_max(pose) < float("inf")) & (F.array_min(pose) > float("-inf"))  # NaN counts as the greatest
+    unit = F.get(pose, F.lit(27)) != 0
+    for i in (28, 29):
+        unit |= F.get(pose, F.lit(i)) != 0
+    return F.coalesce((F.size(pose) == 63) & (F.size(F.array_compact(pose)) == 63) & inside & unit, F.lit(False))
+
+
 def single_poses(frames: DataFrame) -> DataFrame:
-    """``(file, frame_idx, hand, state)`` of unmirrored frames with finite vectors, each (file, frame_idx) once.
+    """``(file, frame_idx, hand, state)`` of unmirrored frames with a usable pose and finite vectors, each (file, frame_idx) once.
 
-    hand is L if (x_vec x y_vec) . z_vec < 0, else R. Of differing copies of a frame the one with the least hash counts.
-    Whether the pose itself is usable is seen in the task that compares it.
+    hand is L if (x_vec x y_vec) . z_vec < 0, else R. Of differing copies of a frame that are usable the one with the least
+    hash counts.
     """
     vectors = ("x_vec", "y_vec", "z_vec")
     x, y, z = ([F.get(v, F.lit(i)).cast("double") for i in range(3)] for v in vectors)
     d = (x[1] * y[2] - x[2] * y[1]) * z[0] + (x[2] * y[0] - x[0] * y[2]) * z[1] + (x[0] * y[1] - x[1] * y[0]) * z[2]
-    good = F.lit(True)
+    good = usable_pose("aligned")
     for v in [*x, *y, *z]:
         good &= v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
     for v in vectors:
