@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from handloom.functions.codes import masks
 from handloom.functions.pose import all_state_names, with_theta_and_code
-from handloom.runtime import free_name, materialise
+from handloom.runtime import sendable
 
 #: A model of more classes than this is refused where it would be sent to all tasks.
 MOST_CLASSES = 1 << 16
@@ -68,28 +69,52 @@ def out_of_model(codes: DataFrame, model: DataFrame) -> DataFrame:
     return codes.select("code", "m_bend", "m_spread").filter("code is not null").distinct().join(model.select("code"), "code", "left_anti")
 
 
+class Classes:
+    """A model's classes by label, at most MOST_CLASSES: the bound of what every task gets."""
+
+    def __init__(self, model: DataFrame):
+        rows = model.select("label", "m_bend", "m_spread").filter("m_bend is not null and m_spread is not null")
+        found = rows.orderBy("label").limit(MOST_CLASSES + 1).toPandas()
+        if len(found) > MOST_CLASSES:
+            raise ValueError(f"a model of more than {MOST_CLASSES} classes")
+        self.label, self.bend, self.spread = (found[c].to_numpy(np.int64) for c in ("label", "m_bend", "m_spread"))
+
+    def overlap(self, bend: np.ndarray, spread: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Labels of the classes that share most bits, ties to the lower label, and the bits shared."""
+        best, over = np.zeros(len(bend), np.int64), np.zeros(len(bend), np.int64)
+        for s in range(0, len(bend), 1024):
+            e = s + 1024
+            shared = np.bitwise_count(bend[s:e, None] & self.bend) + np.bitwise_count(spread[s:e, None] & self.spread)
+            at = shared.argmax(axis=1)
+            best[s:e], over[s:e] = self.label[at], shared[np.arange(len(at)), at]
+        return best, over
+
+    def tokens(self, bend: np.ndarray, spread: np.ndarray) -> np.ndarray:
+        """The label of each code, or that of the class with the best overlap; each distinct code is compared once."""
+        kind = np.dtype([("b", np.int64), ("s", np.int64)])
+        pairs = np.empty(len(bend), kind)
+        pairs["b"], pairs["s"] = bend, spread
+        codes, back = np.unique(pairs, return_inverse=True)
+        known = {(b, s): label for b, s, label in zip(self.bend[::-1], self.spread[::-1], self.label[::-1], strict=True)}
+        found = np.array([known.get((c["b"], c["s"]), -1) for c in codes], np.int64)
+        new = found < 0
+        found[new] = self.overlap(codes["b"][new], codes["s"][new])[0]
+        return found[back]
+
+
 def best_overlap(unknown: DataFrame, model: DataFrame) -> DataFrame:
     """``(code, token, overlap)``: for each distinct unknown code the class that shares most bits, ties to the lower label.
 
     The model goes to all tasks: its size is the ``top_k`` it was trained with, and is checked here. An empty model gives
     null tokens.
     """
-    classes = model.select("label", "m_bend", "m_spread").orderBy("label").limit(MOST_CLASSES + 1).toPandas()
-    if len(classes) > MOST_CLASSES:
-        raise ValueError(f"a model of more than {MOST_CLASSES} classes")
-    label, bend, spread = (classes[c].to_numpy(np.int64) for c in ("label", "m_bend", "m_spread"))
+    classes = Classes(model)
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             xb, xs = b.column("m_bend").to_numpy(), b.column("m_spread").to_numpy()
-            best, over = np.zeros(len(xb), np.int64), np.zeros(len(xb), np.int64)
-            for s in range(0, len(xb), 1024):
-                e = s + 1024
-                if len(label):
-                    shared = np.bitwise_count(xb[s:e, None] & bend) + np.bitwise_count(xs[s:e, None] & spread)
-                    at = shared.argmax(axis=1)
-                    best[s:e], over[s:e] = label[at], shared[np.arange(len(at)), at]
-            none = None if len(label) else np.ones(len(xb), bool)
+            none = None if len(classes.label) else np.ones(len(xb), bool)
+            best, over = classes.overlap(xb, xs) if none is None else (np.zeros(len(xb)), np.zeros(len(xb)))
             yield pa.RecordBatch.from_arrays(
                 [b.column("code"), pa.array(best.astype(np.int32), mask=none), pa.array(over.astype(np.int32), mask=none)],
                 ["code", "token", "overlap"],
@@ -99,27 +124,32 @@ def best_overlap(unknown: DataFrame, model: DataFrame) -> DataFrame:
 
 
 def predict(codes: DataFrame, model: DataFrame, name: str = "token") -> DataFrame:
-    """``codes`` with a token for every code: its label, or that of the class with the best overlap. Null codes get null."""
-    codes = materialise(codes, "codes")  # read twice
-    known = model.select("code", F.col("label").cast("int").alias(name))
-    guessed = best_overlap(out_of_model(codes, model), model).select("code", F.col("token").alias(name))
-    every = known.unionByName(guessed)
-    own = free_name(codes.columns, "code_of")
-    return codes.join(every.withColumnRenamed("code", own), F.col("code") == F.col(own), "left").drop(own)
+    """``codes`` with a token for every code: its label, or that of the class with the best overlap.
+
+    One pass, no shuffle: only the two numbers of a code travel to the Python workers, and the model, whose size is
+    checked. Null codes and an empty model give null; of classes with the same code the lower label counts.
+    """
+    classes = Classes(model)
+    if not len(classes.label):
+        return codes.withColumn(name, F.lit(None).cast("int"))
+
+    @F.pandas_udf("int")
+    def token(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for bend, spread in parts:
+            yield pd.Series(classes.tokens(bend.to_numpy(np.int64), spread.to_numpy(np.int64)).astype(np.int32))
+
+    whole = F.col("code").isNotNull() & F.col("m_bend").isNotNull() & F.col("m_spread").isNotNull()
+    found = token(F.coalesce("m_bend", F.lit(0).cast("bigint")), F.coalesce("m_spread", F.lit(0).cast("bigint")))
+    return codes.withColumn(name, F.when(whole, found))
 
 
 def samples(codes: DataFrame, classes: DataFrame, per_class: int = 3) -> DataFrame:
     """``(rnk, label, code, sample, file, frame_idx, aligned, theta)``: first frames of each class in scan order.
 
-    ``classes`` is a histogram. Classes without a frame give one row with nulls. A hot class is ranked in parts by file
-    first, so that no task sorts all its frames.
+    ``classes`` is a histogram of at most MOST_CLASSES rows. Classes without a frame give one row with nulls. Every task
+    passes on no more than its own first frames of a class, so a hot class is sorted in many places.
     """
-    wanted = codes.join(F.broadcast(classes.select("code")), "code", "left_semi")
-    in_file = Window.partitionBy("code", "file").orderBy("frame_idx")
-    first = wanted.withColumn("r", F.row_number().over(in_file)).filter(F.col("r") <= per_class)
-    # by salt of the file, then over all: at most salts * per_class rows a class meet
-    salted = Window.partitionBy("code", F.pmod(F.xxhash64("file"), F.lit(64))).orderBy("file", "frame_idx")
-    first = first.withColumn("r", F.row_number().over(salted)).filter(F.col("r") <= per_class)
-    whole = Window.partitionBy("code").orderBy("file", "frame_idx")
-    first = first.withColumn("sample", F.row_number().over(whole)).filter(F.col("sample") <= per_class)
+    wanted = codes.join(sendable(classes.select("code"), MOST_CLASSES), "code", "left_semi")
+    order = Window.partitionBy("code").orderBy("file", "frame_idx")
+    first = wanted.withColumn("sample", F.row_number().over(order)).filter(F.col("sample") <= per_class)
     return classes.select("rnk", "label", "code").join(first.select("code", "sample", "file", "frame_idx", "aligned", "theta"), "code", "left")

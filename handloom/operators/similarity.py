@@ -15,13 +15,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from handloom.runtime import materialise
+
 #: Matrix rows in a block.
 BLOCK = 256
 
 
 def symmetrised(counts: DataFrame, symmetrize: bool = True) -> DataFrame:
-    """``(i, j, v)`` without the diagonal: C + C^T, or C. Negative counts fail the job."""
+    """``(i, j, v)`` without the diagonal: C + C^T, or C. Negative counts and negative tokens fail the job."""
+    inside = (F.col("src") >= 0) & (F.col("dst") >= 0)
     good = F.when(F.col("n") >= 0, F.col("n")).otherwise(F.raise_error(F.lit("negative count")).cast("bigint"))
+    good = F.when(inside, good).otherwise(F.raise_error(F.lit("negative token")).cast("bigint"))
     c = counts.filter("src is not null and dst is not null and n is not null and src <> dst").select(
         F.col("src").alias("i"), F.col("dst").alias("j"), good.alias("v")
     )
@@ -66,6 +70,7 @@ def pair_cosine(matrix: DataFrame, exclude: bool = True) -> DataFrame:
 
     ``matrix`` is ``(i, j, v)``, v positive. ``exclude`` False gives the plain cosine.
     """
+    matrix = materialise(matrix, "matrix")  # read for its size, then for its tiles
     n = matrix.agg(F.max("i")).first()[0]
     blocks = 0 if n is None else n // BLOCK + 1
     own = F.floor(F.col("i") / BLOCK).cast("int")

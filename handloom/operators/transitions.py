@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from handloom.operators.prefix import running_total
-from handloom.runtime import free_name
+from handloom.runtime import free_name, materialise
 
 #: Frame numbers (as a power of two) whose rows are put in order together, and places of a track that are.
 FRAME_BITS, PLACES = 14, 1 << 14
@@ -30,10 +30,13 @@ def track_rows(tokens: DataFrame) -> DataFrame:
 
 
 def placed(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``place``, the number of a row in its track, gaps in frame_idx closed up. Long tracks are numbered in parts."""
+    """``rows`` with ``place``, the number of a row in its track, gaps in frame_idx closed up, and ``length`` of the track.
+
+    Tracks are numbered in parts by frame number. ``rows`` is read twice.
+    """
     one = free_name(rows.columns, "one")
     bucket = F.shiftright("frame_idx", FRAME_BITS)
-    numbered = running_total(rows.withColumn(one, F.lit(1)), ["file", "hand"], bucket, [F.col("frame_idx")], one, "place")
+    numbered = running_total(rows.withColumn(one, F.lit(1)), ["file", "hand"], bucket, [F.col("frame_idx")], one, "place", "length")
     return numbered.drop(one)
 
 
@@ -45,16 +48,17 @@ def long_tracks(rows: DataFrame, delta_t: int) -> DataFrame:
 def lag_pairs(rows: DataFrame, delta_t: int) -> DataFrame:
     """``(file, hand, src, dst)`` for every row and each of the next ``delta_t`` rows of its track.
 
-    Tracks are cut into blocks of places; a block also gets the first rows of the next one to look ahead to.
+    Tracks are cut into blocks of places; a block also gets the first rows of the next one to look ahead to. Places and
+    lengths come from sums by range of frame numbers, so no task has a whole track. A null file is a file.
     """
     check(delta_t)
     size = max(PLACES, 2 * delta_t)
-    kept = rows.join(long_tracks(rows, delta_t), ["file", "hand"], "left_semi")
+    kept = placed(materialise(rows, "tracks")).filter(F.col("length") > delta_t)
     block = F.floor(F.col("place") / size)
-    copied = placed(kept).withColumn(
+    copied = kept.withColumn(
         "block",
         F.explode(F.when((F.col("place") % size < delta_t) & (F.col("place") >= size), F.array(block, block - 1)).otherwise(F.array(block))),
-    )
+    ).repartition("file", "hand", "block")
     ahead = Window.partitionBy("file", "hand", "block").orderBy("place")
     nexts = F.array(*(F.lead("token", d).over(ahead) for d in range(1, delta_t + 1)))
     own = copied.withColumn("nexts", nexts).filter(F.col("block") == block)
