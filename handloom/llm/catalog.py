@@ -76,10 +76,10 @@ r as (
 """
 
 
-def _pairs(spark, folder):
-    """Pairs of labels, by recording and by transition."""
-    listed = table(spark, folder, "histogram").filter("label is null or label >= 0")
-    listed = cooccurrence.together(listed.select("file", "label"), "file", "label")
+def _pairs(spark, folder, least: int = 1):
+    """Pairs of labels, by recording and by transition. A recording without a usable label is a recording all the same."""
+    label = F.when(F.col("label") >= 0, F.col("label")).alias("label")
+    listed = cooccurrence.together(table(spark, folder, "histogram").select("file", label), "file", "label", least)
     joined = cooccurrence.joined_by(table(spark, folder, "transitions"), "file", "src", "dst", "n")
     both = listed.withColumn("kind", F.lit("recording")).unionByName(joined.withColumn("kind", F.lit("transition")))
     return both.withColumnsRenamed({"a": "label_a", "b": "label_b"})
@@ -92,7 +92,7 @@ def _pairs(spark, folder):
 )
 def p5_found(spark, folder):
     return (
-        _pairs(spark, folder)
+        _pairs(spark, folder, 8)
         .filter(
             "kind = 'recording' and n >= 8 and n * 100 >= 3 * whole and lift >= 4"
             " or kind = 'transition' and n >= 20 and n * 1000 >= 2 * whole and lift >= 5"
@@ -190,7 +190,8 @@ def _sized(spark, folder):
 
 @query()
 def p8_found(spark, folder):
-    return mix.reached(*_sized(spark, folder)).filter("missed").select("source")
+    sized, targets = _sized(spark, folder)
+    return mix.reached(sized, targets).filter("missed").select("source")
 
 
 @query()

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from handloom.runtime import materialise, quoted
 
-#: Distinct items of a basket that are paired in one place.
-BLOCK = 2048
+#: Distinct items of a basket that are paired in one place: 130,000 pairs, twice that between two blocks.
+BLOCK = 512
 
 
 def distinct_items(rows: DataFrame, basket: str, item: str) -> DataFrame:
@@ -61,10 +61,11 @@ def pair_counts(items: DataFrame, block: int = BLOCK) -> DataFrame:
     return found.groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def together(rows: DataFrame, basket: str, item: str) -> DataFrame:
-    """``(a, b, n, n_a, n_b, whole, lift, pmi)`` for every pair of items that shares a basket.
+def together(rows: DataFrame, basket: str, item: str, least: int = 1) -> DataFrame:
+    """``(a, b, n, n_a, n_b, whole, lift, pmi)`` for every pair of items that shares at least ``least`` baskets.
 
-    ``whole`` is the number of baskets that ``rows`` names, also those without an item.
+    ``whole`` is the number of baskets that ``rows`` names, also those without an item. Items in fewer than ``least``
+    baskets cannot be in such a pair, so they are not paired.
 
     * null baskets: left out; null items: left out, their basket still counts in ``whole``;
     * an item repeated in a basket: once; baskets of one item: no pair; empty input: no row;
@@ -73,7 +74,10 @@ def together(rows: DataFrame, basket: str, item: str) -> DataFrame:
     items = materialise(distinct_items(rows, basket, item), "items")
     whole = rows.select(quoted(basket).alias("basket")).filter("basket is not null").distinct().count()
     marginal = items.groupBy("item").agg(F.count(F.lit(1)).alias("m"))
-    return _scored(pair_counts(items), marginal, whole)
+    if least > 1:
+        marginal = materialise(marginal.filter(F.col("m") >= least), "marginal")
+        items = items.join(marginal.select("item"), "item", "left_semi")
+    return _scored(pair_counts(items).filter(F.col("n") >= least), marginal, whole)
 
 
 def joined_by(links: DataFrame, group: str, src: str, dst: str, weight: str) -> DataFrame:

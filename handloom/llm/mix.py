@@ -8,12 +8,14 @@ sources last, each has its target share of every prefix; one that runs out leave
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from handloom.llm.tokenise import token_counts
 from handloom.operators.prefix import running_total
-from handloom.runtime import materialise
+from handloom.runtime import materialise, sendable
 
 #: Rows of an order that are sorted in one place, roughly.
 RANGE_ROWS = 1 << 16
@@ -51,12 +53,14 @@ def schedule(sized: DataFrame, targets: DataFrame, budget: int | None = None) ->
     """
     n = sized.count()
     goals = _goals(targets).filter("target_share > 0 and max_repeats > 0")
-    supply = sized.groupBy("source").agg(F.sum("n_tokens").alias("supply"))
+    supply = sized.groupBy("source").agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("supply"))
+    rounds = F.col("max_repeats")
+    if budget is not None:  # the rounds that begin within the budget
+        rounds = F.least(rounds, F.floor(F.lit(budget) / F.nullif("supply", F.lit(0))) + 1)
+    queues = materialise(goals.join(supply, "source").withColumn("rounds", rounds.cast("int")), "queues")
     copies = (
-        sized.join(goals, "source")
-        .join(supply, "source")
-        .withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("max_repeats") - 1)))
-        .filter(F.lit(True) if budget is None else F.col("copy") * F.col("supply") <= budget)
+        sized.join(sendable(queues), "source")
+        .withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("rounds") - 1)))
         .withColumn("place", F.xxhash64(F.lit(SEED), "copy", "doc_id"))
     )
     buckets = _buckets(n)
@@ -92,18 +96,25 @@ def mix(sized: DataFrame, targets: DataFrame, budget: int | None = None) -> Data
 
 
 def reached(sized: DataFrame, targets: DataFrame) -> DataFrame:
-    """``(source, target_share, available, goal, missed)``: what the queues hold against what the targets ask for.
+    """``(source, target_share, tokens, goal, missed)``: what the mix took of each source against what the targets ask for.
+
+    ``goal`` is the target share of all tokens, and the budget. A source misses it if its last copy is served and the
+    tokens taken are still fewer. One that lasts is served until its finish times pass the budget, so it gets its goal
+    but for the part of a document, and has copies left, or reaches the goal with its last.
 
-    ``goal`` is the target share of all tokens; a source misses it when its last copy is served before.
+    No source that falls short is cut by the budget: up to the virtual time that equals the budget, the sources take at
+    most their shares of it. Where shares sum to more than 1, the budget is as much larger.
     """
+    goals = materialise(_goals(targets), "goals")
     total = sized.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
-    queues = schedule(sized, targets).groupBy("source").agg(F.max("served").alias("available"))
-    return _goals(targets).join(queues, "source", "left").select(
-        "source",
-        "target_share",
-        F.coalesce("available", F.lit(0)).alias("available"),
-        (F.col("target_share") * total).alias("goal"),
-        (F.coalesce("available", F.lit(0)) < F.col("target_share") * total).alias("missed"),
+    asked = goals.filter("target_share > 0 and max_repeats > 0").agg(F.coalesce(F.sum("target_share"), F.lit(0.0))).first()[0]
+    mixed = mix(sized, targets, int(math.ceil(total * max(1.0, asked))))
+    taken = mixed.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("tokens"))
+    held = sized.groupBy("source").agg(F.count(F.lit(1)).alias("documents"))
+    n, tokens, goal = F.coalesce("n", F.lit(0)), F.coalesce("tokens", F.lit(0)), F.col("target_share") * total
+    spent = n >= F.coalesce("documents", F.lit(0)) * F.greatest("max_repeats", F.lit(0))
+    return goals.join(held, "source", "left").join(taken, "source", "left").select(
+        "source", "target_share", tokens.alias("tokens"), goal.alias("goal"), F.coalesce(spent & (tokens < goal), F.lit(False)).alias("missed")
     )
 
 

@@ -5,14 +5,16 @@ least hash among its similar candidates is a pivot, and every pose similar to a
 meets its first candidate when the bound passes about 1 / m, so however large it is, a round has few candidates of it; the
 first round has at most ``FIRST`` candidates in all. When no pose is left, each goes to its closest pivot.
 
-Clusters as the problem has them join all poses linked by similarity, also through others. Pivots whose clusters come
-within reach (radius + radius + limit) are the only ones whose members may be similar; of those members only the ones
-within reach of the other cluster are compared, and what is kept is one link per pair of pivots. Components of that graph
-are the clusters. No pair is missed: every step leaves out only what the triangle inequality rules out.
-
-Neighbours are found by a grid over the leading principal directions of all poses. A projection never lengthens a
-distance, so a pose and all that is within a radius of it meet in the pose's cell, to which the other side is copied.
-Cells with more than ``BLOCK`` poses are cut into blocks. A side of at most ``SMALL`` poses is sent to all tasks.
+Clusters as the problem has them join all poses linked by similarity, also through others. A member similar to another
+cluster's pivot links the two at once: in a dense region that joins all there is. Only members that lie within
+another cluster's radius and the limit, of clusters not yet joined, are then compared with each other. No pair is missed:
+every step leaves out only what the triangle inequality rules out.
+
+Neighbours are found by a tree of cells that refines with the data: a cell of more than ``LEAF`` poses is cut at its mean
+along the leading directions in which it is wide, until it is small or narrower than what is similar. Poses are written
+in order of their cells. A projection never lengthens a distance, so a pose and all that is within a radius of it meet in
+the pose's cell, to which the other side is copied if the box around the cell's poses is within that radius. Cells that
+cannot be cut and hold more than ``BLOCK`` poses are cut by hash. A side of at most ``SMALL`` poses is sent to all tasks.
 """
 
 from __future__ import annotations
@@ -27,16 +29,22 @@ from pyspark.sql import functions as F
 
 from handloom.llm.poses import VALUES, lists, scaled_poses
 from handloom.operators.components import components
-from handloom.runtime import materialise
+from handloom.runtime import materialise, scratch, sendable, spread_join
 
 LIMIT = 0.12
-DIRECTIONS = 5
-CELL = 0.6
+DIRECTIONS = 16
+#: Poses of a cell that is not cut any more; more where there would be over MOST_LEAVES cells, which bounds what is sent.
+LEAF, MOST_LEAVES = 1024, 250_000
+#: Cuts of a cell in one pass over the poses, and the deviation along a direction under which cutting does not pay.
+CUTS, NARROW = 5, 2 * LIMIT
+#: Passes at most; cells grow smaller by a constant factor in each, so this only ends what rounding would carry on.
+PASSES = 40
 FIRST, FASTER = 4096, 8
 SMALL = 8192
 BLOCK = 20_000
+BLOCK_BITS = 24
 STEP = 2048
-EPS = 1e-9
+EPS = 1e-6
 
 
 def usable(records: DataFrame) -> DataFrame:
@@ -51,54 +59,169 @@ def usable(records: DataFrame) -> DataFrame:
     return slim.mapInArrow(check, slim.schema).groupBy("id").agg(F.min_by("pose", F.xxhash64("pose")).alias("pose"))
 
 
-def principal_directions(points: DataFrame, k: int = DIRECTIONS) -> np.ndarray:
-    """The k leading directions of all poses, from sums of products combined map-side. Any would do; these separate best."""
+class Tree:
+    """Cells by cuts along principal directions. A cell's number is its node; ``blocks`` says how often hash cuts it.
 
-    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((VALUES + 1, VALUES + 1))
+    Per node: the direction and place of its cut and the two nodes below, or -1 for a cell; the box around its poses.
+    """
+
+    def __init__(self, directions: np.ndarray):
+        self.directions = directions
+        self.axis, self.at, self.low, self.high = (np.full(1, -1, np.int32), np.zeros(1), *(np.full(1, -1, np.int32) for _ in "lh"))
+        self.blocks = np.ones(1, np.int64)
+        self.least = self.most = np.empty((0, directions.shape[1]))
+
+    def cut(self, cells: dict[int, list[tuple[int, float]]]) -> None:
+        """Cut each cell along several directions, each given with its place."""
+        axis, at, low, high = (x.tolist() for x in (self.axis, self.at, self.low, self.high))
+        for cell, cuts in cells.items():
+            below = [cell]
+            for d, place in cuts:
+                for k in below:
+                    axis[k], at[k], low[k], high[k] = d, place, len(axis), len(axis) + 1
+                    for x, new in ((axis, -1), (at, 0.0), (low, -1), (high, -1)):
+                        x += [new, new]
+                below = [c for k in below for c in (low[k], high[k])]
+        self.axis, self.low, self.high = (np.array(x, np.int32) for x in (axis, low, high))
+        self.at, self.blocks = np.array(at), np.ones(len(axis), np.int64)
+
+    def cell(self, m: np.ndarray) -> np.ndarray:
+        p, node, rows = m @ self.directions, np.zeros(len(m), np.int64), np.arange(len(m))
+        while len(rows := rows[self.low[node[rows]] >= 0]):
+            k = node[rows]
+            node[rows] = np.where(p[rows, self.axis[k]] < self.at[k], self.low[k], self.high[k])
+        return node
+
+    def home(self, m: np.ndarray, spread: np.ndarray) -> np.ndarray:
+        """Cell and block in one number; ``spread`` is a hash that chooses the block."""
+        cell = self.cell(m)
+        return (cell << BLOCK_BITS) | (spread % self.blocks[cell])
+
+    def reached(self, m: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, home) for all cells and blocks that hold a pose within the row's radius, as far as projections can tell."""
+        p, radius = m @ self.directions, radius + EPS
+        rows, node, done = np.arange(len(m)), np.zeros(len(m), np.int64), []
+        while len(rows):
+            inner = self.low[node] >= 0
+            done.append((rows[~inner], node[~inner]))
+            rows, k = rows[inner], node[inner]
+            off = p[rows, self.axis[k]] - self.at[k]
+            down, up = off - radius[rows] < 0, off + radius[rows] >= 0
+            rows, node = np.append(rows[down], rows[up]), np.append(self.low[k[down]], self.high[k[up]])
+        rows, node = (np.concatenate(x) for x in zip(*done, strict=True))
+        near = np.empty(len(rows), bool)
+        for s in range(0, len(rows), 1 << 16):
+            q, k = p[rows[s : s + (1 << 16)]], node[s : s + (1 << 16)]
+            off = np.maximum(np.maximum(self.least[k] - q, q - self.most[k]), 0)
+            near[s : s + (1 << 16)] = np.sqrt((off**2).sum(axis=1)) <= radius[rows[s : s + (1 << 16)]]
+        rows, node = rows[near], node[near]
+        n = self.blocks[node]
+        block = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return np.repeat(rows, n), (np.repeat(node, n) << BLOCK_BITS) | block
+
+
+def _sums(points: DataFrame, of: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]], width: int) -> DataFrame:
+    """``(key, s0, s1, ...)``: sums of numbers per key, made over batches and then over all."""
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            _, m = scaled_poses(b.column("pose"))
-            m = np.hstack([m, np.ones((len(m), 1))])
-            total += m.T @ m
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], ["at", "s"])
-
-    sums = points.select("pose").mapInArrow(products, "at bigint, s double").groupBy("at").agg(F.sum("s").alias("s"))
-    total = np.zeros((VALUES + 1) ** 2)
-    for r in sums.collect():
-        total[r["at"]] = r.s
-    total = total.reshape(VALUES + 1, -1)
+            key, values = of(b)
+            keys, at = np.unique(key, return_inverse=True)
+            sums = np.zeros((len(keys), width))
+            order = np.argsort(at, kind="stable")
+            if len(order):
+                sums = np.add.reduceat(values[order], np.searchsorted(at[order], np.arange(len(keys))), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(c) for c in sums.T)], names)
+
+    names = ["key", *(f"s{k}" for k in range(width))]
+    schema = "key bigint, " + ", ".join(f"{n} double" for n in names[1:])
+    return points.mapInArrow(partial, schema).groupBy("key").agg(*(F.sum(n).alias(n) for n in names[1:]))
+
+
+def principal_directions(points: DataFrame, k: int = DIRECTIONS) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """The k leading directions of all poses, the mean and deviation along them, and the number of poses."""
+
+    def products(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        _, m = scaled_poses(b.column("pose"))
+        m = np.hstack([m, np.ones((len(m), 1))])
+        return np.arange(VALUES + 1), m.T @ m
+
+    total = np.zeros((VALUES + 1, VALUES + 1))
+    for r in _sums(points.select("pose"), products, VALUES + 1).collect():
+        total[r.key] = r[1:]
     n = max(total[-1, -1], 1.0)
     mean = total[-1, :-1] / n
-    _, vectors = np.linalg.eigh(total[:-1, :-1] / n - np.outer(mean, mean))
-    return vectors[:, ::-1][:, :k].copy()
-
+    spread, vectors = np.linalg.eigh(total[:-1, :-1] / n - np.outer(mean, mean))
+    vectors = vectors[:, ::-1][:, :k].copy()
+    return vectors, mean @ vectors, np.sqrt(np.maximum(spread[::-1][:k], 0)), int(total[-1, -1])
+
+
+def grown(points: DataFrame) -> Tree:
+    """The tree of cells for all ``points``. What comes to the driver are sums of cells with more than LEAF poses."""
+    directions, mean, deviation, n = principal_directions(points)
+    tree, most = Tree(directions), max(LEAF, n // MOST_LEAVES)
+    wide = {0: (n, mean, deviation)}
+    width = directions.shape[1]
+
+    def stats(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        _, m = scaled_poses(b.column("pose"))
+        p = m @ tree.directions
+        return tree.cell(m), np.hstack([np.ones((len(p), 1)), p, p**2])
+
+    for _ in range(PASSES):
+        cells = {}
+        for cell, (count, mean, deviation) in wide.items():
+            order = [int(d) for d in np.argsort(-deviation) if deviation[d] > NARROW]
+            cuts = order[: min(CUTS, max(0, int(np.ceil(np.log2(count / most)))))] if count else []
+            if cuts:
+                cells[cell] = [(d, mean[d]) for d in cuts]
+        if not cells:
+            break
+        tree.cut(cells)
+        found = _sums(points.select("pose"), stats, 1 + 2 * width).filter(F.col("s0") > most).collect()  # at most n / most cells
+        wide = {}
+        for r in found:
+            s = np.array(r[1:])
+            mean = s[1 : 1 + width] / s[0]
+            wide[r.key] = (s[0], mean, np.sqrt(np.maximum(s[1 + width :] / s[0] - mean**2, 0)))
+    for cell, (count, *_) in wide.items():
+        tree.blocks[cell] = max(1, -(-int(count) // BLOCK))
+    return tree
+
+
+def placed(points: DataFrame, tree: Tree) -> DataFrame:
+    """``(id, pose, home)``, written in order of home; the boxes of the tree's cells are taken from it."""
+    spark = points.sparkSession
+    shared = spark.sparkContext.broadcast(tree)  # at most 2 * MOST_LEAVES nodes
 
-class Grid:
-    def __init__(self, directions: np.ndarray, width: float = CELL):
-        self.directions, self.width = directions, width
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            _, m = scaled_poses(b.column("pose"))
+            home = shared.value.home(m, b.column("spread").to_numpy())
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("pose"), pa.array(home)], ["id", "pose", "home"])
 
-    def _named(self, coordinates: np.ndarray) -> np.ndarray:
-        name = np.zeros(len(coordinates), np.int64)
-        with np.errstate(over="ignore"):
-            for c in coordinates.T:
-                name = name * np.int64(1_000_003) + c
-        return name
+    spread = points.select("id", "pose", F.shiftrightunsigned(F.xxhash64("id"), 1).alias("spread"))
+    found = spread.mapInArrow(place, "id bigint, pose array<float>, home bigint")
+    found = materialise(found.repartitionByRange("home", "id").sortWithinPartitions("home", "id"), "points")
+    width = tree.directions.shape[1]
+    names = ["cell", *(f"{e}{d}" for e in ("least", "most") for d in range(width))]
 
-    def home(self, m: np.ndarray) -> np.ndarray:
-        return self._named(np.floor(m @ self.directions / self.width).astype(np.int64))
+    def boxes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            _, m = scaled_poses(b.column("pose"))
+            p, out = m @ shared.value.directions, []
+            for g in _groups(b.column("home").to_numpy() >> BLOCK_BITS):
+                out.append([b.column("home")[int(g[0])].as_py() >> BLOCK_BITS, *p[g].min(axis=0), *p[g].max(axis=0)])
+            columns = list(zip(*out, strict=True)) if out else [[]] * len(names)
+            types = [pa.int64()] + [pa.float64()] * (2 * width)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
-    def reached(self, m: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, cell) for every cell with a point within the row's radius, as far as projections can tell."""
-        at = m @ self.directions
-        low = np.floor((at - radius[:, None] - EPS) / self.width).astype(np.int64)
-        high = np.floor((at + radius[:, None] + EPS) / self.width).astype(np.int64)
-        rows, cells = np.arange(len(m)), np.empty((len(m), 0), np.int64)
-        for d in range(at.shape[1]):
-            n = high[rows, d] - low[rows, d] + 1
-            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            cells, rows = np.repeat(cells, n, axis=0), np.repeat(rows, n)
-            cells = np.hstack([cells, (low[rows, d] + step)[:, None]])
-        return rows, self._named(cells)
+    ends = found.select("home", "pose").mapInArrow(boxes, "cell bigint, " + ", ".join(f"{n} double" for n in names[1:]))
+    best = [(F.min if n.startswith("least") else F.max)(n).alias(n) for n in names[1:]]
+    tree.least, tree.most = (np.full((len(tree.axis), width), x) for x in (np.inf, -np.inf))
+    for r in ends.groupBy("cell").agg(*best).toLocalIterator():  # as many rows as cells
+        tree.least[r.cell], tree.most[r.cell] = r[1 : 1 + width], r[1 + width :]
+    return found
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -116,22 +239,14 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 Kernel = Callable[[pa.Table, np.ndarray, pa.Table, np.ndarray], pa.Table]
 
 
-def with_cells(points: DataFrame, grid: Grid) -> DataFrame:
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            _, m = scaled_poses(b.column("pose"))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(grid.home(m))], [*b.schema.names, "cell"])
-
-    return points.mapInArrow(place, points.schema.simpleString()[7:-1] + ",cell:bigint")
-
-
-def _copied(points: DataFrame, grid: Grid) -> DataFrame:
-    """Rows with a ``radius`` once for every cell it reaches."""
+def _copied(points: DataFrame, tree: Tree) -> DataFrame:
+    """Rows with a ``radius`` once for every cell they reach."""
+    shared = points.sparkSession.sparkContext.broadcast(tree)  # at most 2 * MOST_LEAVES nodes
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             _, m = scaled_poses(b.column("pose"))
-            rows, cells = grid.reached(m, b.column("radius").to_numpy())
+            rows, cells = shared.value.reached(m, b.column("radius").to_numpy())
             t = b.take(pa.array(rows))
             yield pa.RecordBatch.from_arrays([*t.columns, pa.array(cells)], [*t.schema.names, "cell"])
 
@@ -144,10 +259,10 @@ def _groups(values: np.ndarray) -> Iterator[np.ndarray]:
     yield from np.split(order, cuts) if len(order) else ()
 
 
-def meet(left: DataFrame, right: DataFrame, grid: Grid, kernel: Kernel, schema: str, gather=lambda df: df) -> DataFrame:
+def meet(left: DataFrame, right: DataFrame, tree: Tree, kernel: Kernel, schema: str, gather=lambda df: df) -> DataFrame:
     """``kernel`` over all that may be near: rows of ``left`` (id, pose, cell, ...) and of ``right`` (id, pose, radius, ...).
 
-    Each left row sees every right row whose radius reaches it at least once; in blocks if a cell is crowded, so results
+    Each left row sees every right row whose radius reaches it at least once; in blocks if many reach a cell, so results
     of a left row may come in parts; ``gather`` then puts them together. The kernel gets (left rows, their matrix, right
     rows, their matrix).
     """
@@ -156,7 +271,7 @@ def meet(left: DataFrame, right: DataFrame, grid: Grid, kernel: Kernel, schema:
     if n <= SMALL:
         there = right.toArrow()
         _, rm = scaled_poses(there.column("pose").combine_chunks())
-        rows, cells = grid.reached(rm, there.column("radius").to_numpy())
+        rows, cells = tree.reached(rm, there.column("radius").to_numpy())
         of_cell = {int(cells[g[0]]): rows[g] for g in _groups(cells)}
         shared = left.sparkSession.sparkContext.broadcast((there, rm, of_cell))  # at most SMALL rows, checked
 
@@ -174,21 +289,17 @@ def meet(left: DataFrame, right: DataFrame, grid: Grid, kernel: Kernel, schema:
 
         return left.select(*lcols, "cell").mapInArrow(beside, schema)
 
-    copies = _copied(right, grid)
-    crowded = lambda df: {r.cell: -(-r.n // BLOCK) for r in df.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK).collect()}
-    lcut, rcut = crowded(left), crowded(copies)  # at most rows / BLOCK cells
-
-    def blocks(df: DataFrame, own: dict, other: dict, first: bool) -> DataFrame:
-        if not own and not other:
-            return df.withColumn("block", F.lit(0).cast("bigint"))
-        size = lambda cuts: F.coalesce(F.create_map(*(F.lit(x) for kv in cuts.items() for x in kv))[F.col("cell")], F.lit(1)) if cuts else F.lit(1)
-        mine, theirs = size(own), size(other)
-        salt = F.pmod(F.xxhash64("id"), mine)
-        every = df.withColumn("to", F.explode(F.sequence(F.lit(0), theirs - 1)))
-        return every.withColumn("block", (salt * theirs + F.col("to") if first else F.col("to") * mine + salt).cast("bigint")).drop("to")
-
-    a = blocks(left, lcut, rcut, True).select("cell", "block", F.struct(*lcols).alias("l"))
-    b = blocks(copies, rcut, lcut, False).select("cell", "block", F.struct(*rcols).alias("r"))
+    copies = materialise(_copied(right, tree), "copies")
+    cuts = copies.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")).filter("parts > 1")
+    cuts = materialise(cuts, "cuts")  # at most copies / BLOCK rows
+    a = left.select("cell", F.struct(*lcols).alias("l"))
+    b = copies.select("cell", F.struct(*rcols).alias("r"))
+    if whole := cuts.isEmpty():
+        a, b = a.withColumn("block", F.lit(0)), b.withColumn("block", F.lit(0))
+    else:
+        cuts, parts = sendable(cuts), F.coalesce("parts", F.lit(1))
+        a = a.join(cuts, "cell", "left").withColumn("block", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+        b = b.join(cuts, "cell", "left").withColumn("block", F.pmod(F.xxhash64("r.id"), parts).cast("int")).drop("parts")
     both = a.unionByName(b, allowMissingColumns=True).repartition("cell", "block").sortWithinPartitions("cell", "block")
 
     def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +343,7 @@ def meet(left: DataFrame, right: DataFrame, grid: Grid, kernel: Kernel, schema:
             yield from work(pa.concat_tables(held))
 
     found = both.mapInArrow(together, schema)
-    return gather(found) if rcut else found
+    return found if whole else gather(found)
 
 
 def _closest(lt: pa.Table, lm: np.ndarray, rt: pa.Table, rm: np.ndarray) -> pa.Table:
@@ -264,28 +375,42 @@ def _beaten(lt: pa.Table, lm: np.ndarray, rt: pa.Table, rm: np.ndarray) -> pa.Ta
     return lt.select(["id"]).filter(pa.array(lost))
 
 
-def _within_reach(lt: pa.Table, lm: np.ndarray, rt: pa.Table, rm: np.ndarray) -> pa.Table:
-    """Pairs of pivots whose clusters may touch, each once: the right one has the greater (radius, id)."""
-    li, ri, la, ra = lt.column("id").to_numpy(), rt.column("id").to_numpy(), lt.column("far").to_numpy(), rt.column("far").to_numpy()
-    first, second = [], []
+def _facing(lt: pa.Table, lm: np.ndarray, rt: pa.Table, rm: np.ndarray) -> pa.Table:
+    """Left rows with the pivots of other clusters that they are similar to, and those whose members may be."""
+    own, other, reach = lt.column("pivot").to_numpy(), rt.column("id").to_numpy(), rt.column("radius").to_numpy()
+    near, maybe = [], []
     for s in range(0, len(rm), STEP):
         d = distances(lm, rm[s : s + STEP])
-        rad, ids = ra[None, s : s + STEP], ri[None, s : s + STEP]
-        less = (la[:, None] < rad) | ((la[:, None] == rad) & (li[:, None] < ids))
-        i, j = np.nonzero(less & (d <= la[:, None] + rad + LIMIT + EPS))
-        first.append(li[i])
-        second.append(ri[s + j])
-    cat = lambda x: pa.array(np.concatenate(x) if x else np.empty(0, np.int64))
-    return pa.table({"a": cat(first), "b": cat(second)})
+        strange = own[:, None] != other[None, s : s + STEP]
+        i, j = np.nonzero(strange & (d <= LIMIT))
+        near.append(np.stack([i, other[s + j]]))
+        i, j = np.nonzero(strange & (d > LIMIT) & (d <= reach[None, s : s + STEP] + EPS))
+        maybe.append(np.stack([i, other[s + j]]))
+    columns, any_of = [], np.zeros(len(lm), bool)
+    for found in (near, maybe):
+        i, b = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
+        order = np.argsort(i, kind="stable")
+        counts = np.bincount(i, minlength=len(lm))
+        any_of |= counts > 0
+        columns.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(b[order], pa.int64())))
+    out = lt.select(["id", "pose", "home", "pivot"])
+    for name, c in zip(("near", "maybe"), columns, strict=True):
+        out = out.append_column(name, c)
+    return out.filter(pa.array(any_of))
+
+
+FACING = "id bigint, pose array<float>, home bigint, pivot bigint, near array<bigint>, maybe array<bigint>"
 
 
 def _links(lt: pa.Table, lm: np.ndarray, rt: pa.Table, rm: np.ndarray) -> pa.Table:
-    """Pairs of pivots that have similar members, each once per call."""
-    lp, rp = lt.column("pivot").to_numpy(), rt.column("pivot").to_numpy()
+    """Pairs of clusters, as joined so far, that have similar members; each once per call."""
+    lp, rp = lt.column("whole").to_numpy(), rt.column("whole").to_numpy()
     found = [np.empty((0, 2), np.int64)]
     for s in range(0, len(rm), STEP):
-        i, j = np.nonzero((distances(lm, rm[s : s + STEP]) <= LIMIT) & (lp[:, None] < rp[None, s : s + STEP]))
-        found.append(np.unique(np.stack([lp[i], rp[s + j]], axis=1), axis=0))
+        theirs = rp[s : s + STEP]
+        open_ = np.nonzero(~np.isin(lp, theirs[0]) if (theirs == theirs[0]).all() else np.ones(len(lp), bool))[0]
+        i, j = np.nonzero((distances(lm[open_], rm[s : s + STEP]) <= LIMIT) & (lp[open_][:, None] < theirs[None]))
+        found.append(np.unique(np.stack([lp[open_][i], theirs[j]], axis=1), axis=0))
     pairs = np.unique(np.concatenate(found), axis=0)
     return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
@@ -298,12 +423,12 @@ def _one_each(matched: DataFrame) -> DataFrame:
     )
 
 
-def _assign(points: DataFrame, pivots: DataFrame, grid: Grid) -> DataFrame:
+def _assign(points: DataFrame, pivots: DataFrame, tree: Tree) -> DataFrame:
     near = pivots.select("id", "pose", F.lit(LIMIT).alias("radius"))
-    return meet(points.select("id", "pose", "home", F.col("home").alias("cell")), near, grid, _closest, CLOSEST, _one_each)
+    return meet(points.select("id", "pose", "home", F.col("home").alias("cell")), near, tree, _closest, CLOSEST, _one_each)
 
 
-def pivot_clusters(points: DataFrame, grid: Grid) -> DataFrame:
+def pivot_clusters(points: DataFrame, tree: Tree) -> DataFrame:
     """``(id, pose, home, pivot, far)``: every point with its closest pivot. ``points`` is ``(id, pose, home)``, written."""
     n, turn, active, pivots = points.count(), 0, points, []
     hashed = F.xxhash64(F.lit(9), "id")
@@ -314,42 +439,42 @@ def pivot_clusters(points: DataFrame, grid: Grid) -> DataFrame:
         candidates = materialise(candidates, "candidates")
         left = candidates.select("id", "pose", "hash", F.col("home").alias("cell"))
         right = candidates.select("id", "pose", "hash", F.lit(LIMIT).alias("radius"))
-        lost = meet(left, right, grid, _beaten, "id bigint")
+        lost = meet(left, right, tree, _beaten, "id bigint")
         chosen = materialise(candidates.join(lost, "id", "left_anti").select("id", "pose", "home"), "pivots")
         pivots.append(chosen)
-        matched = materialise(_assign(active, chosen, grid), "absorbed")
+        matched = materialise(_assign(active, chosen, tree), "absorbed")
         active = matched.filter("pivot is null").select("id", "pose", "home")
         turn += 1
     every = pivots[0]
     for p in pivots[1:]:
         every = every.unionByName(p)
-    return materialise(_assign(points, every, grid), "members")
-
-
-def touching(members: DataFrame, grid: Grid) -> DataFrame:
-    """``(a, b)``: pivots of which some members are similar."""
-    radius = members.groupBy("pivot").agg(F.max("far").alias("far"))
-    pivots = members.filter("id = pivot").drop("far").join(radius, "pivot").select("id", "pose", F.col("home").alias("cell"), "far")
-    pivots = materialise(pivots, "radii")
-    wide = pivots.filter("far > 0").select("id", "pose", "far", (2 * F.col("far") + LIMIT).alias("radius"))
-    pairs = materialise(meet(pivots, wide, grid, _within_reach, "a bigint, b bigint").distinct(), "reach")
-    if pairs.isEmpty():
-        return pairs
-    ways = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    other = pivots.select(F.col("id").alias("b"), F.col("pose").alias("other"), F.col("far").alias("reach"))
-    faced = members.select("id", "pose", "home", F.col("pivot").alias("a")).join(ways, "a").join(other, "b")
-
-    def facing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            (_, m), (_, o) = scaled_poses(b.column("pose")), scaled_poses(b.column("other"))
-            d = np.sqrt(((m - o) ** 2).sum(axis=1))
-            yield b.filter(pa.array(d <= b.column("reach").to_numpy() + LIMIT + EPS)).select(["id", "pose", "home", "a"])
+    return materialise(_assign(points, every, tree), "members")
+
 
-    kept = faced.select("id", "pose", "home", "a", "other", "reach").mapInArrow(facing, "id bigint, pose array<float>, home bigint, a bigint")
-    border = materialise(kept.dropDuplicates(["id"]).withColumnRenamed("a", "pivot"), "border")
-    left = border.select("id", "pose", "pivot", F.col("home").alias("cell"))
-    right = border.select("id", "pose", "pivot", F.lit(LIMIT).alias("radius"))
-    return meet(left, right, grid, _links, "a bigint, b bigint").distinct()
+def touching(members: DataFrame, sizes: DataFrame, tree: Tree) -> DataFrame:
+    """``(a, b)``: pairs of pivots that join all clusters of which some members are similar.
+
+    ``sizes`` is ``(pivot, n, far, least)``, one row per pivot; both are read several times.
+    """
+    reach = sizes.filter("n > 0").select(F.col("pivot").alias("id"), (F.col("far") + LIMIT).alias("radius"))
+    pivots = members.filter("id = pivot").select("id", "pose").join(reach, "id")
+    left = members.select("id", "pose", "home", "pivot", F.col("home").alias("cell"))
+    facing = materialise(meet(left, materialise(pivots, "reach"), tree, _facing, FACING), "facing")
+    sure = materialise(facing.select(F.col("pivot").alias("a"), F.explode("near").alias("b")).distinct(), "sure")
+    joined = components(sure, "a", sure, "a", "b")
+    whole = lambda name: joined.select(F.col("node").alias(name), F.col("component").alias(f"whole_{name}"))
+    maybe = facing.select("pivot", F.explode("maybe").alias("b")).distinct()
+    maybe = maybe.join(whole("pivot"), "pivot", "left").join(whole("b"), "b", "left")
+    maybe = maybe.select("pivot", "b", F.coalesce("whole_pivot", "pivot").alias("whole"), F.coalesce("whole_b", "b").alias("other"))
+    maybe = materialise(maybe.filter("whole <> other"), "maybe")
+    if maybe.isEmpty():
+        return sure
+    # both sides of a pair must face each other
+    at = facing.select("id", "pose", "home", "pivot", F.explode("maybe").alias("b")).join(sendable(maybe), ["pivot", "b"])
+    border = materialise(at.groupBy("id").agg(*(F.first(c).alias(c) for c in ("pose", "home", "whole"))), "border")
+    left = border.select("id", "pose", "whole", F.col("home").alias("cell"))
+    right = border.select("id", "pose", "whole", F.lit(LIMIT).alias("radius"))
+    return sure.unionByName(materialise(meet(left, right, tree, _links, "a bigint, b bigint").distinct(), "more"))
 
 
 def clusters(records: DataFrame, least: int = 3) -> DataFrame:
@@ -361,25 +486,30 @@ def clusters(records: DataFrame, least: int = 3) -> DataFrame:
     * equal poses: similar, at distance 0; equal distances to two pivots: the lower id; empty input: no row;
     * further columns are not carried on.
     """
-    points = materialise(usable(records), "poses")
-    grid = Grid(principal_directions(points))
-    placed = materialise(with_cells(points, grid).withColumnRenamed("cell", "home"), "points")
-    if placed.isEmpty():
-        return placed.select("id", "pose", F.col("id").alias("cluster_id"))
-    members = pivot_clusters(placed, grid)
-    links = materialise(touching(members, grid), "links")
-    joined = components(links.select("a"), "a", links, "a", "b").withColumnsRenamed({"node": "pivot", "component": "whole"})
-    named = members.join(joined, "pivot", "left").select("id", "pose", F.coalesce("whole", "pivot").alias("whole"))
-    named = materialise(named, "named")
-    sizes = named.groupBy("whole").agg(F.min("id").alias("cluster_id"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
-    return named.join(sizes, "whole").select("id", "pose", "cluster_id")
+    with scratch(records.sparkSession):
+        points = materialise(usable(records), "poses")
+        tree = grown(points)
+        points = placed(points, tree)
+        if points.isEmpty():
+            empty = points.select("id", "pose", F.col("id").alias("cluster_id"))
+            return materialise(empty, "clusters", keep=True)
+        members = pivot_clusters(points, tree)
+        sizes = members.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far"), F.min("id").alias("least"))
+        sizes = materialise(sizes, "sizes")
+        links = touching(members, sizes, tree)
+        joined = components(links, "a", links, "a", "b").withColumnsRenamed({"node": "pivot", "component": "whole"})
+        whole = materialise(sizes.join(joined, "pivot", "left").withColumn("whole", F.coalesce("whole", "pivot")), "whole")
+        of = whole.groupBy("whole").agg(F.min("least").alias("cluster_id"), F.sum("n").alias("size")).filter(F.col("size") >= least)
+        named = materialise(whole.join(of, "whole").select("pivot", "n", "cluster_id"), "named")
+        found = spread_join(members.select("id", "pose", "pivot"), named, "pivot", "n", "id")
+        return materialise(found.select("id", "pose", "cluster_id"), "clusters", keep=True)
 
 
 def described(members: DataFrame, typical: int = 3) -> DataFrame:
     """``(cluster_id, n_members, medoid_id, typical_ids)``: the members with the least mean squared distance to all others.
 
     Those are the members closest to the cluster's mean, so no pair is compared; ties go to the lower id. ``members`` is
-    read twice.
+    read twice. A large cluster's members are spread where they meet its mean, and each task passes on only its best.
     """
 
     def scaled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -392,10 +522,11 @@ def described(members: DataFrame, typical: int = 3) -> DataFrame:
         F.count(F.lit(1)).alias("n_members"), F.array(*(F.avg(F.get("v", F.lit(i))) for i in range(VALUES))).alias("mean")
     )
     gap = F.aggregate(F.zip_with("v", "mean", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    near = rows.join(mean, "cluster_id").select("cluster_id", "n_members", "id", F.round(gap, 12).alias("gap"))
-    order = [F.col("gap"), F.col("id")]
-    salted = near.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)))
-    few = salted.withColumn("r", F.row_number().over(Window.partitionBy("cluster_id", "salt").orderBy(*order))).filter(F.col("r") <= typical)
+    met = spread_join(rows, materialise(mean, "means"), "cluster_id", "n_members", "id")
+    near = met.select("cluster_id", "n_members", "id", F.round(gap, 12).alias("gap"))
+    # the limit on the row number is applied before the rows travel, too
+    order = Window.partitionBy("cluster_id").orderBy("gap", "id")
+    few = near.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= typical)
     best = few.groupBy("cluster_id").agg(F.first("n_members").alias("n_members"), F.array_sort(F.collect_list(F.struct("gap", "id"))).alias("all"))
     return best.select(
         "cluster_id",

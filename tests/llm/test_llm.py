@@ -231,9 +231,10 @@ def test_unused_rounds_are_not_queued_and_change_nothing(spark):
 # ---- clusters
 
 
-@pytest.mark.parametrize("small,block,first", [(8192, 20_000, 4096), (5, 7, 4)])
-def test_clusters_are_the_components(spark, monkeypatch, small, block, first):
+@pytest.mark.parametrize("small,block,first,leaf", [(8192, 20_000, 4096, 1024), (5, 7, 4, 6)])
+def test_clusters_are_the_components(spark, monkeypatch, small, block, first, leaf):
     monkeypatch.setattr(pivot_clusters, "SMALL", small)
+    monkeypatch.setattr(pivot_clusters, "LEAF", leaf)
     monkeypatch.setattr(pivot_clusters, "BLOCK", block)
     monkeypatch.setattr(pivot_clusters, "FIRST", first)
     rng = np.random.default_rng(7)
