@@ -310,6 +310,53 @@ def test_long_texts_are_read_once():
     assert rules.area_of([f"w{i}" for i in range(200_000)]) == "law" and rules.area_of(["w0"]) is None
 
 
+def test_adverts_have_an_address_or_a_handle():
+    for advert in ("Subtitles by Otho_12", "www.somewhere.net", "Go to SOMEWHERE.EXAMPLE now!", "sync by n17crew"):
+        assert subtitles.spoken(advert) is None, advert
+    for said in ("Stop.Now", "He left...and came back.", "Room B12, please.", "In 1984 she left.", "It was 3.5 metres."):
+        assert subtitles.spoken(said) is not None, said
+
+
+def _cued(spark, data):
+    return spark.createDataFrame(data, "areas array<string>, words array<string>")
+
+
+def test_rules_against_brute_force(spark):
+    rng = np.random.default_rng(9)
+    data = []
+    for _ in range(300):
+        tagged = rng.random() < 0.4
+        words = [f"w{i:02d}" for i in range(12) if rng.random() < (0.5 if tagged == (i % 2 == 0) else 0.25)]
+        data.append((["law"] if tagged else [], words))
+    found, chance = subjects.mine(_cued(spark, data))
+    n, k = Counter(), Counter()
+    for areas, words in data:
+        for size in (1, 2, 3):
+            for w in combinations(words, size):
+                n[frozenset(w)] += 1
+                k[frozenset(w)] += bool(areas)
+    telling = {w for w in n if len(w) == 1 and k[w] >= 3 and k[w] / n[w] >= subjects.LEAST_LIFT * chance["law"]}
+    assert {w for w, *_ in found if len(w) == 1} == {w for w in telling if k[w] / n[w] >= subjects.LEAST_CONFIDENCE}
+    sure = {w: k[w] / (n[w] + 1) for w in n}
+    for w, area, c, m in found:
+        assert area == "law" and (c, m) == (k[w] / n[w], n[w])
+    words = set().union(*telling)
+    for w in n:  # what beats all of its parts is found
+        parts = [frozenset(x) for size in range(1, len(w)) for x in combinations(w, size)]
+        if len(w) > 1 and w <= words and k[w] >= 3 and k[w] / n[w] >= subjects.LEAST_CONFIDENCE and all(sure[w] > sure[x] + subjects.GAIN for x in parts):
+            assert w in {x for x, *_ in found}
+
+
+def test_long_repeated_cues_are_mined_in_time(spark):
+    rng = np.random.default_rng(10)
+    lyric = [f"sing{i:02d}" for i in range(40)]
+    data = [(["music"], lyric)] * 6 + [([], ["rain", "again"])] * 60
+    data += [(["music"] if rng.random() < 0.5 else [], [w for w in lyric if rng.random() < 0.8]) for _ in range(30)]
+    began = time.time()
+    subjects.mine(_cued(spark, data))
+    assert time.time() - began < 60
+
+
 def test_areas_of_held_out_documents(spark):
     rng = np.random.default_rng(8)
     terms = {"law": ["verdict", "plaintiff", "clause", "appeal"], "music": ["chorus", "violin", "tempo", "encore"]}
