@@ -9,7 +9,9 @@ Completeness is proved, not assumed: a code of weight phi * total that was not f
 repetition, with at least that much weight beyond the candidates'. Where such groups remain in all repetitions, another
 round over their rows alone, with other hashes, follows; after ``ROUNDS`` the few rows still open are counted outright.
 
-Memory per task: R * G * 15 * 64 counters. To the driver come only groups over the threshold, at most R / phi.
+Memory per task: R * G * 15 * 64 counters of 8 bytes, and a third of that again while adding. G is 4 / phi, but at most
+``MOST_GROUPS``, so a task stays under 150 MB however small the share: more codes then fall into a group, and more rounds
+follow. To the driver come only groups over the threshold, at most R / phi.
 """
 
 from __future__ import annotations
@@ -19,15 +21,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from handloom.functions.codes import legacy_code, masks, plain_code
-from handloom.runtime import materialise
+from handloom.functions.codes import legacy_code, plain_code
+from handloom.runtime import materialise, sendable
 
 SYMBOLS, DATA, LENGTH = 64, 11, 15
 REPEATS = 3
 ROUNDS = 6
+MOST_GROUPS = 4096
+#: Rows for each group that a task counts, where there are so many: noise then stays below KEEP and is not passed on.
+ROWS_PER_GROUP = 2048
 #: A partition passes on symbols of at least this part of their group's weight there.
 KEEP = 1 / 16
 BUFFER_ROWS = 200_000
@@ -123,20 +129,67 @@ def correct(word: np.ndarray) -> np.ndarray | None:
     return None
 
 
+_BASE64 = np.full(256, 64, np.uint8)
+_BASE64[np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)] = np.arange(64)
+BITS = 66
+
+
+def _texts(column: pa.Array, rows: np.ndarray, size: int) -> np.ndarray:
+    """The bytes of texts that are all of ``size`` bytes, a row each."""
+    data = column.take(pa.array(rows)).cast(pa.large_binary())
+    start = data.offset * size
+    flat = np.frombuffer(data.buffers()[2] or b"", np.uint8)
+    first = int(np.frombuffer(data.buffers()[1], np.int64)[data.offset]) if len(rows) else start
+    return flat[first : first + len(rows) * size].reshape(-1, size)
+
+
+def _numbers(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(m_bend, m_spread) of rows of 66 bits."""
+    wide = np.zeros((len(bits), 128), np.uint8)
+    wide[:, :45], wide[:, 64:85] = bits[:, :45], bits[:, 45:]
+    pair = np.packbits(wide, axis=1, bitorder="little").view(np.int64)
+    return pair[:, 0], pair[:, 1]
+
+
+def decoded(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows with a whole code in either form, m_bend, m_spread)."""
+    size = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    at = np.nonzero(size == BITS)[0]
+    plain = _texts(column, at, BITS) - ord("0")
+    good = (plain <= 1).all(axis=1)
+    rows, bits = [at[good]], [plain[good]]
+    at = np.nonzero(size == 13)[0]
+    old = _texts(column, at, 13)
+    sextets = _BASE64[old[:, :12]]
+    good = (sextets < 64).all(axis=1) & (old[:, 12] == ord("\n"))
+    at, sextets = at[good], sextets[good]
+    eights = np.unpackbits(sextets, axis=1).reshape(-1, 12, 8)[:, :, 2:].reshape(-1, 9, 8)[:, :, ::-1].reshape(-1, 72)
+    good = ~eights[:, BITS:].any(axis=1)
+    rows.append(at[good])
+    bits.append(eights[good][:, :BITS])
+    return np.concatenate(rows), *_numbers(np.concatenate(bits))
+
+
 def usable_counts(rows: DataFrame) -> DataFrame:
     """``(file, m_bend, m_spread, cnt)`` of rows with a whole code and a count; re-deliveries are still there."""
-    return (
-        rows.select("file", "cnt", masks(F.col("bitstring")).alias("m"))
-        .filter("m is not null and cnt is not null")
-        .select("file", F.col("m.m_bend").alias("m_bend"), F.col("m.m_spread").alias("m_spread"), "cnt")
-    )
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, bend, spread = decoded(b.column("bitstring"))
+            at = pa.array(at)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("file").take(at), pa.array(bend), pa.array(spread), b.column("cnt").take(at)], ["file", "m_bend", "m_spread", "cnt"]
+            )
+
+    slim = rows.select("file", "bitstring", F.col("cnt").cast("bigint").alias("cnt")).filter("bitstring is not null and cnt is not null")
+    return slim.mapInArrow(decode, "file string, m_bend bigint, m_spread bigint, cnt bigint")
 
 
 def written_as(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """Rows whose text is one of the wanted codes in either form: a comparison of texts, nothing is decoded."""
     m = F.col("m_bend"), F.col("m_spread")
     forms = wanted.select(F.explode(F.array(plain_code(*m), legacy_code(*m))).alias("bitstring"))
-    return rows.join(F.broadcast(forms), "bitstring", "left_semi")  # two texts for each of a bounded number of candidates
+    return rows.join(sendable(forms), "bitstring", "left_semi")
 
 
 def once(counts: DataFrame) -> DataFrame:
@@ -152,9 +205,10 @@ def _seeds(turn: int) -> list[int]:
     return [turn * REPEATS + r for r in range(REPEATS)]
 
 
-def counters(weights: DataFrame, groups: int, turn: int) -> DataFrame:
-    """``(rep, grp, pos, sym, w)``; pos -1 holds the whole weight of the group, which is exact."""
+def counters(weights: DataFrame, groups: int, turn: int, tasks: int) -> DataFrame:
+    """``(rep, grp, pos, sym, w)``, counted in ``tasks`` tasks; pos -1 holds the whole weight of the group, which is exact."""
     slim = weights.select("m_bend", "m_spread", "cnt", *(_group(s, groups).alias(f"g{r}") for r, s in enumerate(_seeds(turn))))
+    slim = slim.coalesce(tasks)
 
     def track(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros((REPEATS, groups, LENGTH, SYMBOLS))
@@ -225,11 +279,12 @@ def heavy_codes(rows: DataFrame, share: float) -> DataFrame:
     * (file, code) delivered again, in either form: once; ties at the threshold: all in;
     * empty input: no row; further columns of ``rows`` are ignored. Negative counts are not expected.
     """
-    groups = 1 << int(np.ceil(np.log2(4 / share)))
+    groups = min(MOST_GROUPS, 1 << int(np.ceil(np.log2(4 / share))))
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, rows.count() // (ROWS_PER_GROUP * groups))
     raw = usable_counts(rows)
     inside, total, parts = F.lit(True), None, []
     for turn in range(ROUNDS):
-        seen = materialise(counters(once(raw.filter(inside)), groups, turn), "counters")
+        seen = materialise(counters(once(raw.filter(inside)), groups, turn, tasks), "counters")
         sums = seen.filter("pos = -1")
         if total is None:
             total = int(sums.filter("rep = 0").agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0])

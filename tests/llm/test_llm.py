@@ -38,9 +38,20 @@ def _codes(rng, n):
     return ["".join(rng.choice(["0", "1"], 66)) for _ in range(n)]
 
 
-@pytest.mark.parametrize("rounds", [6, 1])
-def test_heavy_codes_are_all_found(spark, monkeypatch, rounds):
+def test_codes_are_decoded_as_by_the_columns(spark):
+    rng = np.random.default_rng(12)
+    texts = _codes(rng, 50) + ["", None, "0" * 65, "0" * 65 + "2", "A" * 12, "A" * 12 + "\n", "/" * 12 + "\n", "A" * 11 + "=\n", "é" * 33, "A" * 11 + "éa", "0" * 64 + "é"]
+    df = spark.createDataFrame([(t, "f", 1) for t in texts], "bitstring string, file string, cnt bigint")
+    m = masks(F.col("bitstring"))
+    both = df.union(df.withColumn("bitstring", legacy_code(m["m_bend"], m["m_spread"])))
+    want = both.select("file", m["m_bend"].alias("b"), m["m_spread"].alias("s"), "cnt").filter("b is not null")
+    assert rows(heavy_items.usable_counts(both)) == rows(want)
+
+
+@pytest.mark.parametrize("rounds,groups", [(6, 4096), (1, 4096), (6, 8)])
+def test_heavy_codes_are_all_found(spark, monkeypatch, rounds, groups):
     monkeypatch.setattr(heavy_items, "ROUNDS", rounds)
+    monkeypatch.setattr(heavy_items, "MOST_GROUPS", groups)
     rng = np.random.default_rng(2)
     codes = _codes(rng, 120)
     data = [(f"f{i % 9}", codes[min(int(rng.exponential(12)), 119)], int(rng.integers(1, 9)), "x") for i in range(1500)]
