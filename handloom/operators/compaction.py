@@ -2,7 +2,8 @@
 
 Write: one row per record key, spread by an adaptive REBALANCE: rows are shuffled by recording, and the sizes seen at
 run time merge small output partitions and split large ones near the target size, so neither a hot recording nor a
-thousand small ones make bad files. Commit: the multiset checksum of what was written, read back from the files, must
+thousand small ones make bad files. Only frames that several files hold are grouped with their poses; all others travel
+once, in the rebalancing. Commit: the multiset checksum of what was written, read back from the files, must
 equal that of the input, which another job derives from the tiny files without the write. Only then does the commit row
 appear that readers go by; a write that broke off is never seen.
 """
@@ -14,6 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from handloom.runtime import materialise, sendable
 from handloom.sources.tiny_files import frames_of
 
 KEYS = ["file", "frame_idx"]
@@ -35,14 +37,21 @@ def single_frames(frames: DataFrame) -> DataFrame:
     return picked.select(*KEYS, F.col("p.aligned").alias("aligned"), F.col("p.is_mirror").alias("is_mirror"), "n_holders")
 
 
-def expected_checksum(frames: DataFrame) -> tuple[int, int, int]:
-    """What ``checksum`` must find, from the tiny files themselves: hashes travel, poses do not."""
+def held(frames: DataFrame) -> DataFrame:
+    """What ``single_frames`` must give, with hashes in place of poses, from another aggregation: poses do not travel."""
     body = F.xxhash64("aligned").alias("body")
     slim = frames.select(*KEYS, body, "is_mirror", "delivered_at", "path_id")
     picked = slim.groupBy(*KEYS).agg(
         _preferred(F.struct("body", "is_mirror")).alias("p"), F.count(F.lit(1)).alias("n_holders")
     )
-    return _digest(picked.select(*KEYS, F.col("p.body").alias("body"), F.col("p.is_mirror").alias("is_mirror"), "n_holders"))
+    return picked.select(*KEYS, F.col("p.body").alias("body"), F.col("p.is_mirror").alias("is_mirror"), "n_holders")
+
+
+def gathered(frames: DataFrame, expected: DataFrame) -> DataFrame:
+    """``single_frames``, but only frames with several holders are grouped. ``expected`` is what ``held`` gives, written."""
+    contested = sendable(expected.filter("n_holders > 1").select(*KEYS))
+    alone = frames.join(contested, KEYS, "left_anti").select(*KEYS, "aligned", "is_mirror", F.lit(1).cast("bigint").alias("n_holders"))
+    return alone.unionByName(single_frames(frames.join(contested, KEYS, "left_semi")))
 
 
 def written_checksum(rows: DataFrame) -> tuple[int, int, int]:
@@ -71,19 +80,22 @@ def compact(files: DataFrame, target: str, target_bytes: int = TARGET_BYTES) ->
     * empty input: an empty committed table; further columns of ``files`` are not carried on.
     """
     spark = files.sparkSession
+    if spark.conf.get("spark.sql.adaptive.enabled") != "true":
+        raise RuntimeError("REBALANCE needs spark.sql.adaptive.enabled: without it partitions are neither merged nor split")
     frames = frames_of(files)
     run = uuid.uuid4().hex
     data = f"{target}/data-{run}"
-    once = single_frames(frames)
+    expected = materialise(held(frames), "held")
+    once = gathered(frames, expected)
     name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
     before = spark.conf.get(name)
-    spark.conf.set(name, str(target_bytes))
+    spark.conf.set(name, str(target_bytes))  # of the session: queries that run in it meanwhile see it too
     try:
         once.hint("rebalance", "file").sortWithinPartitions(*KEYS).write.parquet(data)
     finally:
         spark.conf.set(name, before)
     table = spark.read.schema(once.schema).parquet(data)
-    want, have = expected_checksum(frames), written_checksum(table)
+    want, have = _digest(expected), written_checksum(table)
     if want != have:
         raise ChecksumMismatch(f"expected {want}, found {have} in {data}")
     commit = [(run, data, *map(str, have))]
