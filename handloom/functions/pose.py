@@ -13,7 +13,6 @@ from pyspark.sql.types import StructType
 
 from handloom.functions import vec
 from handloom.functions.codes import BEND_BITS
-from handloom.runtime import free_name
 
 #: Landmarks of the bending angles, the vertex in the middle.
 BENDING = [(2, 3, 4), (5, 6, 7), (6, 7, 8), (9, 10, 11), (10, 11, 12), (13, 14, 15), (14, 15, 16), (17, 18, 19), (18, 19, 20)]
@@ -29,12 +28,6 @@ FINGERS = [1, 5, 9, 13, 17]
 N_ANGLES, N_STATES = 13, 5
 
 
-def _doubles(df: DataFrame, pose: str) -> tuple[DataFrame, str]:
-    """The pose as doubles in a column of its own, so that each value is cast once."""
-    name = free_name(df.columns, "p")
-    return df.withColumn(name, F.col(pose).cast("array<double>")), name
-
-
 def _added(df: DataFrame, make: Callable[[pa.RecordBatch], list[pa.Array]], fields: str) -> DataFrame:
     """``df`` with the columns that ``make`` gives for a batch; they replace columns of the same names.
 
@@ -156,18 +149,20 @@ def out_of_range(theta: str = "theta") -> Column:
     return bad
 
 
+def bone_cosines(poses: np.ndarray) -> np.ndarray:
+    """15 cosines between following bones of each of n poses; 0 where a bone has no length, NaN where not finite."""
+    with np.errstate(all="ignore"):
+        at = poses.reshape(-1, 21, 3)
+        chains = at[:, [[0, f, f + 1, f + 2, f + 3] for f in FINGERS]]
+        bones = np.diff(chains, axis=2)
+        u, v = bones[:, :, :-1], bones[:, :, 1:]
+        size = _norm(u) * _norm(v)
+        return np.clip(_dot(u, v) / np.where(size > 1e-8, size, 1.0), -1.0, 1.0).reshape(len(poses), -1)
+
+
 def with_bone_cosines(df: DataFrame, pose: str = "aligned", name: str = "cosines") -> DataFrame:
-    """``df`` with 15 cosines between following bones, float; 0 where a bone has no length, null where not finite."""
-    staged, p = _doubles(df, pose)
-    out = []
-    for base in FINGERS:
-        chain = [0, base, base + 1, base + 2, base + 3]
-        for a, b, c in zip(chain, chain[1:], chain[2:], strict=False):
-            u = vec.sub(vec.landmark(F.col(p), b), vec.landmark(F.col(p), a))
-            v = vec.sub(vec.landmark(F.col(p), c), vec.landmark(F.col(p), b))
-            size = vec.norm(u) * vec.norm(v)
-            out.append(vec.clipped(vec.dot(u, v) / F.when(size > 1e-8, size).otherwise(F.lit(1.0))).cast("float"))
-    return staged.withColumn(name, vec.pack(*out)).drop(p)
+    """``df`` with 15 cosines between following bones, float; null for null, short and non-finite poses."""
+    return _added(df, lambda b: [_lists(bone_cosines(_matrix(b.column(pose), 63)), pa.float32())], f"{name} array<float>")
 
 
 def hand(x_vec: str = "x_vec", y_vec: str = "y_vec", z_vec: str = "z_vec") -> Column:

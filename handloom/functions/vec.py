@@ -8,57 +8,18 @@ from pyspark.sql import functions as F
 Vec = tuple[Column, Column, Column]
 
 
-def landmark(pose: Column, m: int) -> Vec:
-    """Landmark m of a flat pose of doubles; null where the pose is null or too short."""
-    return tuple(F.get(pose, F.lit(3 * m + c)) for c in range(3))
-
-
 def vector(column: Column) -> Vec:
     return tuple(F.get(column, F.lit(c)).cast("double") for c in range(3))
 
 
-def sub(a: Vec, b: Vec) -> Vec:
-    return tuple(x - y for x, y in zip(a, b, strict=True))
-
-
-def scale(a: Vec, s: Column) -> Vec:
-    return tuple(x * s for x in a)
-
-
-def over(a: Vec, s: Column) -> Vec:
-    return tuple(x / s for x in a)
-
-
 def dot(a: Vec, b: Vec) -> Column:
     return a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
 
 
-def norm(a: Vec) -> Column:
-    return F.sqrt(dot(a, a))
-
-
 def cross(a: Vec, b: Vec) -> Vec:
     return (a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0])
 
 
-def unit(a: Vec, eps: float) -> Vec:
-    return over(a, norm(a) + F.lit(eps))
-
-
 def number(x: Column) -> Column:
     """Null for NaN and null: NaN would pass comparisons as the greatest value."""
     return F.when(~F.isnan(x), x)
-
-
-def clipped(x: Column) -> Column:
-    """x within -1..1, null where it is not a number: ``least`` and ``greatest`` would pass over a null."""
-    return F.when(x.isNotNull() & ~F.isnan(x), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x)))
-
-
-def acos_degrees(x: Column) -> Column:
-    return F.degrees(F.acos(clipped(x)))
-
-
-def pack(*values: Column) -> Column:
-    """Values as an array that is computed once: the optimizer would copy a bare array's elements into all who use them."""
-    return F.slice(F.array(*values), 1, len(values))

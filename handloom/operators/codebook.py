@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from handloom.functions.codes import masks
 from handloom.functions.pose import all_state_names, with_theta_and_code
-from handloom.runtime import sendable
+from handloom.operators.prefix import numbered
+from handloom.runtime import materialise, sendable
 
 #: A model of more classes than this is refused where it would be sent to all tasks.
 MOST_CLASSES = 1 << 16
@@ -34,18 +35,27 @@ def code_frequency(codes: DataFrame) -> DataFrame:
     return seen.select("code", "cnt", F.col("first.file").alias("first_file"), F.col("first.frame_idx").alias("first_idx"))
 
 
+def totals(codes: DataFrame) -> DataFrame:
+    """``(n_files, n_frames, n_codes)``: recordings, frames and distinct codes; a null file or code is none."""
+    return codes.agg(
+        F.count_distinct("file").alias("n_files"), F.count(F.lit(1)).alias("n_frames"), F.count_distinct("code").alias("n_codes")
+    )
+
+
 def train(codes: DataFrame, top_k: int | None = 1024) -> DataFrame:
     """``(label, code, m_bend, m_spread, cnt)``: the ``top_k`` most frequent codes, label 0 the most frequent.
 
     Equal counts keep the order in which codes are first seen. ``top_k`` None keeps every code, as the legacy training
-    does; labels then come from one task, so give a bound where codes are many.
+    does; such codes are numbered range by range, however many there are.
     """
     order = [F.desc("cnt"), F.asc("first_file"), F.asc("first_idx"), F.asc("code")]
-    ranked = code_frequency(codes).orderBy(*order)
-    kept = ranked.limit(top_k) if top_k is not None else ranked
-    label = F.row_number().over(Window.orderBy(*order)) - 1
+    counted = code_frequency(codes)
+    if top_k is None:
+        ranked = numbered(materialise(counted, "codes"), order, "label").withColumn("label", F.col("label").cast("int"))
+    else:
+        ranked = counted.orderBy(*order).limit(top_k).withColumn("label", F.row_number().over(Window.orderBy(*order)) - 1)
     m = masks(F.col("code"))
-    return kept.withColumn("label", label).select("label", "code", m["m_bend"].alias("m_bend"), m["m_spread"].alias("m_spread"), "cnt")
+    return ranked.select("label", "code", m["m_bend"].alias("m_bend"), m["m_spread"].alias("m_spread"), "cnt")
 
 
 def histogram(model: DataFrame, n: int | None = 20) -> DataFrame:

@@ -5,7 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from handloom.runtime import free_name
+from handloom.runtime import free_name, materialise
+
+#: Rows of an order that are sorted in one place, roughly.
+RANGE_ROWS = 1 << 16
+
+
+def buckets(rows: int) -> int:
+    """A power of two, so that each of so many buckets has about RANGE_ROWS rows or fewer."""
+    return 1 << max(0, (rows // RANGE_ROWS).bit_length())
+
+
+def ranged(df: DataFrame, order: list[Column], name: str = "range") -> DataFrame:
+    """``df``, written, with the number of a row's range in ``order``: ranges of sampled bounds hold about as many rows each.
+
+    ``df`` is read three times: pass it materialised.
+    """
+    return materialise(df.repartitionByRange(buckets(df.count()), *order).withColumn(name, F.spark_partition_id()), "ranges")
+
+
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``df`` with ``name``: the number of a row in ``order``, from 0. ``order`` must be total. ``df`` is read three times."""
+    at, one = free_name([*df.columns, name], "range"), free_name([*df.columns, name], "one")
+    rows = ranged(df.withColumn(one, F.lit(1)), order, at)
+    return running_total(rows, [], F.col(at), order, one, name).drop(at, one)
 
 
 def running_total(

@@ -91,3 +91,11 @@ def merge(parts: DataFrame, min_transitions: int = 0) -> DataFrame:
     """``(src, dst, n)`` of counts per recording, each (file, src, dst) once; rows with a null are left out."""
     once = parts.filter("src is not null and dst is not null and n is not null").groupBy("file", "src", "dst").agg(F.max("n").alias("n"))
     return once.groupBy("src", "dst").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(min_transitions, 1))
+
+
+def matrix_stats(counts: DataFrame) -> DataFrame:
+    """``(nnz, most, total)`` of ``(src, dst, n)``: entries over 0, the greatest and the sum, 0 where there is none."""
+    zero = F.lit(0)
+    return counts.agg(
+        F.count_if(F.col("n") > 0).alias("nnz"), F.coalesce(F.max("n"), zero).alias("most"), F.coalesce(F.sum("n"), zero).alias("total")
+    )

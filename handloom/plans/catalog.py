@@ -12,7 +12,7 @@ from handloom.operators import codebook, compaction, components, hot_keys, reduc
 from handloom.plans import oracle as o
 from handloom.plans import pipeline
 from handloom.runtime import fresh_path, materialise
-from handloom.sources import frames
+from handloom.sources import frames, images
 from handloom.streaming import accumulate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -139,6 +139,14 @@ def bone_cosine_features(spark, folder):
     return found.select("feature_id", *(_r6(F.get("cosines", F.lit(i)).cast("double")).alias(f"cos_{i}") for i in range(15)))
 
 
+@query(
+    f"with {o.FEATURES}, {o.DOUBLES}, c as (select unnest([{', '.join(f'cast({x} as double)' for x in o.bone_cosines())}]) as x from f)"
+    " select min(x) as least, max(x) as most, count(x) as n_values, count(*) - count(x) as n_missing from c"
+)
+def feature_stats(spark, folder):
+    return reduce.feature_stats(pose.with_bone_cosines(_features(spark, folder)), "cosines")
+
+
 @query(f"with {o.FRAMES} select file, frame_idx, {o.HAND} as hand from h")
 def hand_label(spark, folder):
     return _frames(spark, folder).select("file", "frame_idx", pose.hand().alias("hand"))
@@ -222,6 +230,31 @@ def aligned_pose(spark, folder):
     return points.select("feature_id", "landmark", *values)
 
 
+def _reader():
+    """A stand-in for a landmark detector: the image's bytes are the handedness it would find and the landmarks."""
+
+    def detect(content: bytes):
+        side, *marks = content.decode().split(",")
+        return [(side, [float(x) for x in marks])] if len(marks) == 63 else [], 640, 480
+
+    return detect
+
+
+@query(
+    f"""with {o.FEATURES}, {o.DOUBLES} select cast(feature_id as varchar) as path, cast(0 as int) as hand_idx,
+    case when label = 'Right' then 'Left' else 'Right' end as handedness,
+    {', '.join(f"cast(cast(a[{c + 1}] * {w} as float) as double) as wrist_{n}" for c, (n, w) in enumerate((('x', 640), ('y', 480), ('z', 640))))}
+    from f where len(a) = 63 and len(list_filter(a, lambda v: v is null or not isfinite(v))) = 0"""
+)
+def image_hands(spark, folder):
+    """Hands of images, the images being made of the feature table and the detector reading them back."""
+    rows = _features(spark, folder).filter(reduce.finite("aligned"))
+    text = F.concat_ws(",", F.coalesce("label", F.lit("")), F.transform("aligned", lambda v: v.cast("double").cast("string")))
+    found = images.hands(rows.select(F.col("feature_id").cast("string").alias("path"), F.to_binary(text, F.lit("utf-8")).alias("content")), _reader)
+    wrist = [F.get("wrist_px", F.lit(c)).cast("double").alias(f"wrist_{n}") for c, n in enumerate("xyz")]
+    return found.select("path", "hand_idx", "handedness", *wrist)
+
+
 # ---- sources, filters, metadata
 
 
@@ -256,6 +289,20 @@ def codebook_topk(spark, folder):
     return codebook.train(_codes(spark, folder), 256).select("label", "code", "cnt")
 
 
+@query(f"with {o.FRAMES}, {o.theta_ctes()}, {o.code_ctes()}, {_RANKED} select cast(label as int) as label, code, cnt from tk")
+def codebook_all(spark, folder):
+    """The legacy training: every code gets a label."""
+    return codebook.train(_codes(spark, folder), None).select("label", "code", "cnt")
+
+
+@query(
+    f"""with {o.FRAMES}, {o.theta_ctes()}, {o.code_ctes()} select count(distinct file) as n_files, count(*) as n_frames,
+    count(distinct code) as n_codes from co"""
+)
+def codebook_totals(spark, folder):
+    return codebook.totals(_codes(spark, folder))
+
+
 def _states_sql(first: int, last: int) -> str:
     parts = []
     for k in range(first, last):
@@ -348,6 +395,11 @@ def transition_merge(spark, folder):
     return transitions.merge(table(spark, folder, "transitions"))
 
 
+@query(f"with {o.MERGED} select count(*) as nnz, cast(coalesce(max(n), 0) as bigint) as most, cast(coalesce(sum(n), 0) as bigint) as total from c")
+def transition_stats(spark, folder):
+    return transitions.matrix_stats(transitions.merge(table(spark, folder, "transitions")))
+
+
 @query(_counts_sql(1))
 def streaming_counts(spark, folder):
     """The token rows as a stream of files, accumulated batch by batch."""
@@ -386,6 +438,16 @@ def similarity_asymmetric(spark, folder):
     return similarity.similarity(_merged(spark, folder), symmetrize=False).select("i", "j", _r6(F.col("sim")).alias("sim"))
 
 
+@query(
+    f"with {o.MERGED}, {o.matrix().replace('v as', 'w as', 1)}, cold as (select cast(range as int) as i from range(1024) where range not in (select i from w)), "
+    f"v as (select i, j, v from w union all select i, cast(range as int), 1 from cold, range(1024) where range <> i), {o.sims()} select i, j, {o.r6('sim')} as sim from ss"
+)
+def similarity_cold_start(spark, folder):
+    """Tokens that no transition names are taken to go over into every other token alike."""
+    sims = similarity.similarity(_merged(spark, folder), cold_start="uniform", k=1024)
+    return sims.select("i", "j", _r6(F.col("sim")).alias("sim"))
+
+
 @query(
     f"with recursive {o.MERGED}, v as (select * from (select i, j, cast(sum(v) as bigint) as v from (select src as i, dst as j, n as v from c where src <> dst and n >= 5 union all select dst, src, n from c where src <> dst and n >= 5) group by 1, 2)), {o.sims()}, ed as (select i, j from ss where sim > 0.97), {o.COMPONENTS} select token, super_cluster from cc"
 )
@@ -431,20 +493,10 @@ def overview_2d(spark, folder):
     return reduce.overview(_features(spark, folder), "feature_id", 10_000)
 
 
-def _numpy_pca(pdf):
-    import numpy as np
-    import pandas as pd
-
-    m = np.stack(pdf["aligned"]).astype(float)
-    _, _, axes = np.linalg.svd(m - m.mean(axis=0), full_matrices=False)
-    axes = axes[:2] * np.sign(axes[:2][np.arange(2), np.abs(axes[:2]).argmax(axis=1)])[:, None]
-    xy = (m - m.mean(axis=0)) @ axes.T
-    return pd.DataFrame({"feature_id": pdf["feature_id"], "x": xy[:, 0], "y": xy[:, 1]})
-
-
 @query()
 def group_projection(spark, folder):
-    return reduce.per_group(_features(spark, folder), "label", "feature_id", _numpy_pca)
+    """Every pose on the two leading directions of its hand's label."""
+    return reduce.pca_groups(_features(spark, folder), "label", "feature_id")
 
 
 @query()
@@ -455,3 +507,22 @@ def kmeans_tokens(spark, folder):
 @query()
 def subsample(spark, folder):
     return reduce.subsample(_features(spark, folder), 1000, "feature_id").select("feature_id")
+
+
+@query("with h as (select distinct feature_id from hand_features where feature_id is not null) select least(1000, count(*)) as n, least(1000, count(*)) as n_distinct, least(1000, count(*)) as n_known from h")
+def subsample_size(spark, folder):
+    """How many rows a sample has, how many of them differ, and how many are rows of the table."""
+    features = _features(spark, folder).select("feature_id")
+    picked = materialise(reduce.subsample(features, 1000, "feature_id"), "sample")
+    known = picked.join(features.withColumn("there", F.lit(True)), "feature_id", "left")
+    return known.agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("feature_id").alias("n_distinct"), F.count("there").alias("n_known")
+    )
+
+
+@query()
+def kmeans_quality(spark, folder):
+    """Cost and silhouette by number of clusters."""
+    features = materialise(_features(spark, folder).select("aligned"), "features")
+    costs, scores = reduce.elbow(features, [4, 8, 16]), dict(reduce.silhouette(features, [4, 8, 16]))
+    return spark.createDataFrame([(k, cost, scores.get(k)) for k, cost in costs], "k int, cost double, silhouette double")

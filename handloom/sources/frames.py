@@ -5,13 +5,19 @@ from __future__ import annotations
 import fnmatch
 import os
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from handloom.sources.cache import cached, files_key
+
 SCHEMA = (
     "file string, frame_idx bigint, aligned array<float>, x_vec array<float>, y_vec array<float>, z_vec array<float>, is_mirror boolean"
 )
+#: Frames that are read from a file at a time.
+BATCH_ROWS = 4096
 
 
 def single(frames: DataFrame, *keys: str) -> DataFrame:
@@ -41,7 +47,8 @@ class H5Partition(InputPartition):
 
 class H5Reader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
-        self.where, self.most = options["path"], int(options.get("maxFiles", "0"))
+        given = {k.lower(): v for k, v in options.items()}
+        self.where, self.most = given["path"], int(given.get("maxfiles", "0"))
 
     def partitions(self) -> list[InputPartition]:
         found = h5_paths(self.where)
@@ -53,12 +60,24 @@ class H5Reader(DataSourceReader):
         with h5py.File(partition.path, "r") as f:
             if "aligned_63d" not in f:
                 return
-            read = lambda name: f[name][:].tolist() if name in f else None
-            poses, flags = read("aligned_63d"), read("is_mirror")
-            vectors = [read(v) for v in ("x_vec", "y_vec", "z_vec")]
-        name = os.path.basename(partition.path)
-        for i, pose in enumerate(poses):
-            yield (name, i, pose, *(v[i] if v else None for v in vectors), bool(flags[i]) if flags else None)
+            for start in range(0, len(f["aligned_63d"]), BATCH_ROWS):
+                yield _batch(f, os.path.basename(partition.path), start)
+
+
+def _batch(f, name: str, start: int) -> pa.RecordBatch:
+    """Rows of an open file from ``start`` on, one slice of each dataset; datasets it lacks give nulls."""
+    end = min(start + BATCH_ROWS, len(f["aligned_63d"]))
+    n, columns = end - start, []
+    for dataset, width in (("aligned_63d", 63), ("x_vec", 3), ("y_vec", 3), ("z_vec", 3)):
+        if dataset in f:
+            values = np.ascontiguousarray(f[dataset][start:end], np.float32)
+            ends = pa.array(np.arange(n + 1, dtype=np.int32) * width)
+            columns.append(pa.ListArray.from_arrays(ends, pa.array(values.ravel())))
+        else:
+            columns.append(pa.nulls(n, pa.list_(pa.float32())))
+    flags = pa.array(np.asarray(f["is_mirror"][start:end], bool)) if "is_mirror" in f else pa.nulls(n, pa.bool_())
+    frames = pa.array(np.arange(start, end, dtype=np.int64))
+    return pa.RecordBatch.from_arrays([pa.array([name] * n, pa.string()), frames, *columns, flags], [c.split()[0] for c in SCHEMA.split(", ")])
 
 
 class H5Source(DataSource):
@@ -90,8 +109,14 @@ def h5_paths(where: str) -> list[str]:
     return found
 
 
-def load(spark: SparkSession, where: str) -> DataFrame:
-    """Frames of a Parquet table or of HDF5 files, mirrored ones left out."""
+def load(spark: SparkSession, where: str, cache: str | None = None) -> DataFrame:
+    """Frames of a Parquet table or of HDF5 files, mirrored ones left out.
+
+    With ``cache``, a folder that all executors share, they are kept there as Parquet and read from it the next time,
+    unless a file of ``where`` has changed since.
+    """
+    if cache:
+        return cached(spark, cache, files_key(spark, where, "frames"), lambda: load(spark, where))
     if where.rstrip("/").endswith(".parquet"):
         return unmirrored(spark.read.parquet(where))
     spark.dataSource.register(H5Source)

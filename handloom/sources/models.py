@@ -45,6 +45,7 @@ def save_json(model: DataFrame, folder: str, top_k: int) -> str:
     _write(folder, COUNTS, {str(r.label): r.cnt for r in rows})
     _write(folder, OLD_LABELS, {r.packed: r.label for r in rows})
     _write(folder, OLD_COUNTS, {r.packed: r.cnt for r in rows})
+    # fixed values: the keys that readers of this form look for
     sizes = {"q": 5, "n_bits": 66, "n_angles": 13, "n_bending": 9, "n_spread": 4}
     _write(folder, META, {"n_classes": len(rows), **sizes, "top_k": top_k, "has_new_architecture": True})
     return os.path.join(folder, META)

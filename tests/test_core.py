@@ -1,6 +1,8 @@
 """Operators of the core on small inputs, against values worked out by hand or by brute force."""
 
+import json
 import math
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -8,9 +10,10 @@ from pyspark.sql import functions as F
 
 from handloom.functions import codes, pose
 from handloom.operators import codebook, compaction, components, hot_keys, prefix, reduce, similarity, transitions
+from handloom import runtime
 from handloom.plans import pipeline
 from handloom.runtime import fresh_path, materialise
-from handloom.sources import frames, models
+from handloom.sources import cache, frames, images, models
 from handloom.streaming import accumulate
 
 FRAME = "file string, frame_idx bigint, aligned array<float>, x_vec array<float>, y_vec array<float>, z_vec array<float>, is_mirror boolean"
@@ -232,6 +235,13 @@ def test_pipeline_and_files(spark, tmp_path):
     c = np.load(paths["transition_matrix.npy"])
     assert c.sum() == result.counts.agg(F.sum("n")).first()[0]
     assert result.groups().count() == 16
+    groups = json.loads((tmp_path / "out" / "super_cluster_map.json").read_text())
+    assert groups == {str(r.token): r.super_cluster for r in result.groups().collect()}
+    coded = materialise(codebook.encode(df), "codes")
+    pipeline.save_report(coded, model, str(tmp_path / "report"), 5)
+    text = "".join(p.read_text() for p in sorted((tmp_path / "report").glob("part-*")))
+    n_codes = coded.select("code").distinct().count()
+    assert text.startswith(f"2 recordings, 120 frames, {n_codes} distinct codes\n#1 label 0, ") and text.count("point 20") == 3
     models.save_json(model, str(tmp_path / "model"), 16)
     assert rows(models.load_json(spark, str(tmp_path / "model"))) == rows(model.select("label", "code", "m_bend", "m_spread", "cnt"))
     with pytest.raises(AttributeError):
@@ -266,3 +276,230 @@ def test_kmeans_without_usable_poses_and_with_clashing_columns(spark):
     of = dict(map(tuple, got.collect()))
     assert sorted(of) == list(range(20)) and len({of[0], of[1]}) == 2 and all(of[i] == of[i % 2] for i in of)
     assert reduce.kmeans(df.filter("id > 90"), "id", 2, cosines=True)[0].count() == 0
+
+
+# ---- intermediate tables, and keys that hold most rows
+
+
+def test_only_a_local_master_may_lack_a_shared_folder():
+    class Unset:
+        master = "spark://somewhere:7077"
+
+        def get(self, name, default=None):
+            return default
+
+        def getConf(self):
+            return self
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf = sparkContext = Unset()
+
+    with pytest.raises(RuntimeError, match=r"spark\.checkpoint\.dir"):
+        runtime.shared_dir(Session())
+
+
+def _folders(spark):
+    there = Path(runtime.run_dir(spark).removeprefix("file:"))
+    return {p.name for p in there.iterdir()} if there.exists() else set()
+
+
+def test_intermediate_tables_go(spark):
+    df = spark.range(3)
+    before = _folders(spark)
+    with runtime.scratch(spark):
+        materialise(df, "gone")
+        with runtime.scratch(spark):
+            materialise(df, "gone")
+            inner = materialise(df, "inner", keep=True)
+        assert inner.count() == 3
+        kept = materialise(inner, "kept", keep=True)
+    left = _folders(spark) - before
+    assert len(left) == 1 and left.pop().startswith("kept") and kept.count() == 3
+    runtime.release(spark)
+    assert not _folders(spark)
+
+
+def _most_in_a_task(df):
+    return df.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+
+
+def test_spread_join_splits_a_hot_key(spark, monkeypatch):
+    monkeypatch.setattr(runtime, "HOT_ROWS", 16)
+    data = [(0, i) for i in range(400)] + [(k, k) for k in range(1, 20)] + [(None, 1)]
+    rows_ = spark.createDataFrame(data, "k int, id int")
+    keys = rows_.filter("k is not null").groupBy("k").agg(F.count(F.lit(1)).alias("n")).withColumn("x", F.col("k") * 2)
+    keys = materialise(keys, "keys")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        joined = materialise(runtime.spread_join(rows_, keys, "k", "n", "id"), "joined")
+        assert rows(joined.select("k", "id", "x")) == sorted([(k, i, 2 * k) for k, i in data if k is not None], key=str)
+        plan = runtime.spread_join(rows_, keys, "k", "n", "id")
+        assert _most_in_a_task(plan) < 400
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_a_hot_track_is_in_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(transitions, "FRAME_BITS", 4)
+    monkeypatch.setattr(transitions, "PLACES", 16)
+    df = spark.createDataFrame([("f", i, "L", i % 3) for i in range(600)] + [(None, 1, "L", 0)], "file string, frame_idx bigint, hand string, token int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        joined = df.join(df.select("file", "hand").distinct(), ["file", "hand"])  # leaves a partitioning by track
+        whole = prefix.running_total(joined, ["file", "hand"], F.shiftright("frame_idx", 4), [F.col("frame_idx")], "token", "s", "t")
+        assert _most_in_a_task(whole) < 400 and whole.agg(F.max("t")).first()[0] == 600
+        assert _most_in_a_task(transitions.lag_pairs(df, 1)) < 400
+        assert transitions.count(df, 1).agg(F.sum("n")).first()[0] == 599
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_components_with_a_hub(spark, monkeypatch):
+    monkeypatch.setattr(runtime, "HOT_ROWS", 8)
+    monkeypatch.setattr(components, "HOT_ROWS", 8)
+    edges = [(7, i) for i in range(8, 60)] + [(i, i + 1) for i in range(100, 110)] + [(60, 3), (59, 60)]
+    df = spark.createDataFrame(edges, "i int, j int")
+    got = components.components(df.select("i"), "i", df, "i", "j")
+    assert set(map(tuple, got.collect())) == {(i, 3) for i in [3, *range(7, 61)]} | {(i, 100) for i in range(100, 111)}
+
+
+def test_rows_are_numbered_range_by_range(spark, monkeypatch):
+    monkeypatch.setattr(prefix, "RANGE_ROWS", 8)
+    df = spark.createDataFrame([(i * 7 % 101,) for i in range(101)], "v int")
+    assert rows(prefix.numbered(df, [F.desc("v")], "n")) == rows(df.withColumn("n", (100 - F.col("v")).cast("bigint")))
+
+
+# ---- sources
+
+
+H5PY = """
+import numpy as np
+
+class File(dict):
+    def __init__(self, path, mode):
+        super().__init__(np.load(path))
+    def __enter__(self):
+        return self
+    def __exit__(self, *error):
+        pass
+"""
+
+
+def test_hdf5_files_through_a_stand_in(spark, tmp_path, monkeypatch):
+    (tmp_path / "h5py.py").write_text(H5PY)
+    spark.sparkContext.addPyFile(str(tmp_path / "h5py.py"))
+    monkeypatch.setattr(frames, "BATCH_ROWS", 2)
+    folder = tmp_path / "in"
+    folder.mkdir()
+    pose = np.arange(5 * 63, dtype=np.float32).reshape(5, 63)
+    turn = np.ones((5, 3), np.float32)
+    made = {
+        "b.h5": {"aligned_63d": pose, "x_vec": turn, "y_vec": turn, "z_vec": turn, "is_mirror": np.array([0, 1, 0, 0, 1], bool)},
+        "a.h5": {"aligned_63d": pose[:2]},
+        "c.h5": {"other": pose},
+        "d.txt": {"aligned_63d": pose},
+    }
+    for name, data in made.items():
+        with open(folder / name, "wb") as f:
+            np.savez(f, **data)
+    whole = spark.dataSource.register(frames.H5Source) or spark.read.format("hand_h5").load(str(folder))
+    got = {(r.file, r.frame_idx): r for r in whole.collect()}
+    assert sorted(got) == [("a.h5", 0), ("a.h5", 1), *(("b.h5", i) for i in range(5))]
+    assert got["b.h5", 3].aligned == pose[3].tolist() and got["b.h5", 1].is_mirror and got["b.h5", 0].x_vec == [1.0] * 3
+    assert got["a.h5", 1].is_mirror is None and got["a.h5", 1].z_vec is None
+    assert whole.rdd.getNumPartitions() == 3
+    assert frames.load(spark, str(folder)).count() == 5 and frames.load(spark, str(folder / "b.h5")).count() == 3
+    assert frames.oriented(whole).count() == 5
+    assert {r.file for r in spark.read.format("hand_h5").option("maxFiles", 1).load(str(folder)).collect()} == {"a.h5"}
+    assert frames.load(spark, str(folder / "*.h5"), str(tmp_path / "kept")).count() == 5
+    with open(folder / "e.h5", "wb") as f:
+        np.savez(f, aligned_63d=pose)
+    assert frames.load(spark, str(folder / "*.h5"), str(tmp_path / "kept")).count() == 10  # a new file, a new key
+
+
+def test_tables_are_kept_by_what_they_are_made_of(spark, tmp_path):
+    made = []
+
+    def make():
+        made.append(1)
+        return spark.range(4)
+
+    df = spark.range(9)
+    for seed in (1, 1, 2):
+        key = cache.rows_key(df, "overview", seed)
+        assert cache.cached(spark, str(tmp_path), key, make).count() == 4
+    assert len(made) == 2 and cache.rows_key(df.repartition(5)) == cache.rows_key(df) != cache.rows_key(df.limit(8))
+
+
+def test_hands_of_images(spark):
+    def stub():
+        def detect(content):
+            side, n = content.decode().split()
+            return [(side, [m / 63 + i for m in range(63)]) for i in range(int(n))], 100, 50
+
+        return detect
+
+    df = spark.createDataFrame([("a", b"Right 2"), ("b", b"Left 0"), ("c", b"Left 1")], "path string, content binary")
+    got = {(r.path, r.hand_idx): r for r in images.hands(df, stub).collect()}
+    assert {k: r.handedness for k, r in got.items()} == {("a", 0): "Left", ("a", 1): "Left", ("c", 0): "Right"}
+    assert got["a", 1].wrist_px == pytest.approx([100.0, 50 * (1 + 1 / 63), 100 * (1 + 2 / 63)])
+    assert got["a", 0].aligned[:3] == [0.0] * 3 and len(got["a", 0].aligned) == 63
+
+
+# ---- reduction
+
+
+def test_projection_of_whole_groups(spark):
+    rng = np.random.default_rng(6)
+    poses = rng.normal(size=(60, 63)) * np.linspace(3, 1, 63)
+    data = [(i, "ab"[i % 2], p.tolist(), "x") for i, p in enumerate(poses)] + [(90, None, poses[0].tolist(), "x"), (91, "a", None, "x"), (92, "c", poses[0].tolist(), "x")]
+    df = spark.createDataFrame(data, "id bigint, g string, aligned array<double>, v string")
+    got = {r.id: (r.x, r.y) for r in reduce.pca_groups(df, "g", "id").collect()}
+    assert sorted(got) == list(range(60))
+    for k in (0, 1):
+        m = poses[k::2] - poses[k::2].mean(axis=0)
+        _, _, axes = np.linalg.svd(m, full_matrices=False)
+        two = axes[:2] * np.sign(axes[:2][np.arange(2), np.abs(axes[:2]).argmax(axis=1)])[:, None]
+        assert np.allclose([got[i] for i in range(k, 60, 2)], m @ two.T)
+
+
+def test_kmeans_models_are_kept_and_judged(spark, tmp_path):
+    from pyspark.ml import PipelineModel
+
+    rng = np.random.default_rng(7)
+    data = [(i, (rng.normal(size=63) * 0.05 + np.sin(np.arange(63) * (1 + i % 3))).tolist()) for i in range(45)]
+    df = spark.createDataFrame(data, "id bigint, aligned array<float>")
+    model = reduce.fit_kmeans(df, 3, cosines=True)
+    model.write().overwrite().save(str(tmp_path / "model"))
+    again = PipelineModel.load(str(tmp_path / "model"))
+    of = dict(map(tuple, reduce.assign_kmeans(again, df, "id").collect()))
+    assert of == dict(map(tuple, reduce.assign_kmeans(model, df, "id").collect())) and len(set(of.values())) == 3
+    costs = dict(reduce.elbow(df, [2, 3]))
+    assert costs[3] < costs[2]
+    scores = dict(reduce.silhouette(df, [2, 3]))
+    assert scores[3] > scores[2]
+
+
+def test_cold_tokens_go_over_into_all_others(spark):
+    df = spark.createDataFrame([(0, 1, 2), (1, 2, 3)], "src int, dst int, n bigint")
+    got = {(r.i, r.j): r.sim for r in similarity.similarity(df, cold_start="uniform", k=5).collect()}
+    v = np.zeros((5, 5))
+    v[0, 1] = v[1, 0] = 2
+    v[1, 2] = v[2, 1] = 3
+    v[3, [0, 1, 2, 4]] = v[4, [0, 1, 2, 3]] = 1
+    for i in range(5):
+        for j in range(i + 1, 5):
+            keep = [c for c in range(5) if c not in (i, j)]
+            a, b = v[i, keep], v[j, keep]
+            assert got.get((i, j), 0.0) == pytest.approx(a @ b / np.linalg.norm(a) / np.linalg.norm(b) if a.any() and b.any() else 0.0)
+    with pytest.raises(ValueError):
+        similarity.similarity(df, cold_start="uniform")
+    with pytest.raises(Exception, match="negative token"):
+        similarity.similarity(df.withColumn("src", F.lit(-1))).collect()

@@ -6,7 +6,7 @@ from conftest import same_as_sql
 from handloom.plans.catalog import QUERIES, SQL
 
 
-@pytest.mark.parametrize("name", ["p1_found", "p1_label_totals", "p3_found", "p3_recordings", "code_frequency", "transition_counts", "transition_merge"])
+@pytest.mark.parametrize("name", ["p1_found", "p1_label_totals", "p3_found", "p3_recordings", "code_frequency", "transition_counts", "transition_merge", "transition_stats", "codebook_totals", "codebook_all", "feature_stats", "token_predict", "image_hands"])
 def test_against_sql(spark, edge_folder, name):
     got = same_as_sql(spark, edge_folder, QUERIES[name], SQL[name])
     assert bool(got) == ("hostile" in edge_folder)
