@@ -14,11 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from handloom.llm.tokenise import token_counts
-from handloom.operators.prefix import running_total
+from handloom.operators.prefix import buckets, ranged, running_total
 from handloom.runtime import materialise, sendable
 
-#: Rows of an order that are sorted in one place, roughly.
-RANGE_ROWS = 1 << 16
 SEED = 17
 
 
@@ -40,10 +38,6 @@ def _goals(targets: DataFrame) -> DataFrame:
     return named.groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
 
 
-def _buckets(rows: int) -> int:
-    return 1 << max(0, (rows // RANGE_ROWS).bit_length())
-
-
 def schedule(sized: DataFrame, targets: DataFrame, budget: int | None = None) -> DataFrame:
     """``(doc_id, source, copy, n_tokens, served, finish)`` for every copy that may be used.
 
@@ -51,7 +45,6 @@ def schedule(sized: DataFrame, targets: DataFrame, budget: int | None = None) ->
     ``budget``, rounds of a source that begin beyond it are not queued: its earlier rounds alone spend it. ``sized`` is
     read several times: pass it materialised.
     """
-    n = sized.count()
     goals = _goals(targets).filter("target_share > 0 and max_repeats > 0")
     supply = sized.groupBy("source").agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("supply"))
     rounds = F.col("max_repeats")
@@ -63,8 +56,8 @@ def schedule(sized: DataFrame, targets: DataFrame, budget: int | None = None) ->
         .withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("rounds") - 1)))
         .withColumn("place", F.xxhash64(F.lit(SEED), "copy", "doc_id"))
     )
-    buckets = _buckets(n)
-    slot = F.shiftrightunsigned("place", 65 - buckets.bit_length()).cast("int") if buckets > 1 else F.lit(0)
+    slots = buckets(sized.count())
+    slot = F.shiftrightunsigned("place", 65 - slots.bit_length()).cast("int") if slots > 1 else F.lit(0)
     # the sign bit counts as the highest bit here, so places are ordered as unsigned numbers
     order = [F.col("place").bitwiseXOR(F.lit(-(1 << 63))), F.col("doc_id")]
     queued = running_total(copies, ["source", "copy"], slot, order, "n_tokens", "ahead")
@@ -89,9 +82,7 @@ def mix(sized: DataFrame, targets: DataFrame, budget: int | None = None) -> Data
         budget = sized.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
     planned = materialise(schedule(sized, targets, budget), "schedule")
     order = [F.col(c) for c in ("finish", "source", "copy", "doc_id")]
-    # ranges of sampled bounds hold about as many rows each, however unevenly the finish times lie
-    ranged = planned.repartitionByRange(_buckets(planned.count()), *order).withColumn("range", F.spark_partition_id())
-    placed = running_total(materialise(ranged, "ranges"), [], F.col("range"), order, "n_tokens", "starts_at").drop("range")
+    placed = running_total(ranged(planned, order), [], F.col("range"), order, "n_tokens", "starts_at").drop("range")
     return placed.filter(F.col("starts_at") + F.col("n_tokens") <= budget).drop("served")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from handloom.functions.codes import legacy_code, masks
 from handloom.llm import cooccurrence, heavy_items, mix, pivot_clusters, runs, subjects, subtitles, tokenise
+from handloom.operators import prefix
 
 tokenizers = pytest.importorskip("tokenizers")
 
@@ -96,6 +97,16 @@ def test_pairs_against_brute_force(spark, monkeypatch, block):
     assert cooccurrence.together(df.limit(0), "file", "label").count() == 0
 
 
+def test_recordings_without_a_usable_label_count(spark):
+    data = [(f"b{i % 40}", int(j)) for i in range(40) for j in {i % 5, (i + 1) % 5}] + [("none", None), ("none", None)]
+    df = spark.createDataFrame(data, "file string, label int")
+    got = rows(cooccurrence.together(df, "file", "label"))
+    assert got and {r[5] for r in got} == {41}
+    few = rows(cooccurrence.together(df, "file", "label", 8))
+    assert few == [r for r in got if r[2] >= 8] and few
+    assert cooccurrence.together(df, "file", "label", 9).count() == 0
+
+
 def test_links_count_once(spark):
     data = [("f", 1, 2, 3), ("f", 1, 2, 3), ("f", 2, 1, 4), ("g", 1, 3, 1), ("g", 1, 1, 9), ("g", 2, 3, None), (None, None, 3, 1)]
     df = spark.createDataFrame(data, "file string, src int, dst int, n bigint")
@@ -192,7 +203,7 @@ def _mix_input(spark):
 
 @pytest.mark.parametrize("ranges", [1 << 16, 16])
 def test_mix_keeps_shares_repeats_and_budget(spark, monkeypatch, ranges):
-    monkeypatch.setattr(mix, "RANGE_ROWS", ranges)
+    monkeypatch.setattr(prefix, "RANGE_ROWS", ranges)
     data, sized, targets = _mix_input(spark)
     total = sum(n for *_, n in data)
     got = sorted(mix.mix(sized, targets, total // 4).collect(), key=lambda r: (r.finish, r.source, r.copy, r.doc_id))
@@ -239,6 +250,31 @@ def test_unused_rounds_are_not_queued_and_change_nothing(spark):
     assert mix.schedule(sized, many, budget).count() < len(every)
 
 
+def test_a_hot_source_is_in_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(prefix, "RANGE_ROWS", 64)
+    sized = spark.createDataFrame([(i, "a" if i % 20 else "b", 3) for i in range(2000)], "doc_id bigint, source string, n_tokens bigint")
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 3)], "source string, target_share double, max_repeats int")
+    for name, value in (("autoBroadcastJoinThreshold", -1), ("adaptive.coalescePartitions.enabled", False)):
+        spark.conf.set(f"spark.sql.{name}", value)
+    try:
+        planned = mix.schedule(sized, targets)
+        tasks = planned.groupBy(F.spark_partition_id()).count().collect()
+        assert len(tasks) == 4 and max(r["count"] for r in tasks) < 0.5 * planned.count()
+    finally:
+        for name in ("autoBroadcastJoinThreshold", "adaptive.coalescePartitions.enabled"):
+            spark.conf.unset(f"spark.sql.{name}")
+
+
+def test_missed_sources_come_from_the_mix(spark):
+    _, sized, targets = _mix_input(spark)
+    plan = mix.mix(sized, targets, 1000)._jdf.queryExecution().toString()
+    assert "starts_at" in plan and "ranges-" in plan  # ordered by ranges of finish times, then cut
+    got = {r.source: r for r in mix.reached(sized, targets).collect()}
+    mixed = {r.source: r.t for r in mix.mix(sized, targets).groupBy("source").agg(F.sum("n_tokens").alias("t")).collect()}
+    assert {s: r.tokens for s, r in got.items() if r.tokens} == mixed
+    assert got["none"].missed and got["none"].tokens == 0
+
+
 # ---- clusters
 
 
