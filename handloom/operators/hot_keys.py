@@ -27,20 +27,22 @@ def number_rows(df: DataFrame, key: str, value: str, chunk_rows: int = CHUNK_ROW
     """``(key, value, row_no, chunk)``: rows of each key numbered from 0 without gaps, in input order.
 
     Null keys form a group of their own. Input order is partition by partition; it is that of the files for a scan.
-    ``df`` must read files, or be passed through ``materialise``: both passes over it need the same partitions. (Totals
-    made of the numbers are right in any case, as a row's number only says which chunk it counts in.)
+    ``df`` must read files, or be passed through ``materialise``: both passes over it need the same partitions. A row that
+    the first pass did not count in its partition fails the job. (Totals made of the numbers would be right in any case,
+    as a row's number only says which chunk it counts in.)
     """
     # in a struct a null key equals itself, so rows keep their partitioning by (part, key) through the join
     slim = df.select(F.struct(quoted(key).alias("k")).alias("key"), quoted(value).alias("value"))
     counts = slim.groupBy(F.spark_partition_id().alias("part"), "key").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("part", "key", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    offsets = counts.select("part", "key", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
 
     placed = slim.withColumn("place", F.monotonically_increasing_id())
     placed = placed.withColumn("part", F.shiftright("place", POSITION_BITS).cast("int"))
     within = Window.partitionBy("part", "key").orderBy("place")
     numbered = placed.withColumn("rank", F.row_number().over(within) - 1)
-    row_no = F.coalesce("offset", F.lit(0)) + F.col("rank")
+    apart = F.raise_error(F.lit("the two passes over the rows have different partitions")).cast("bigint")
+    row_no = F.when(F.col("rank") < F.col("n"), F.col("offset") + F.col("rank")).otherwise(apart)
     return numbered.join(offsets, ["part", "key"], "left").select(
         F.col("key.k").alias("key"),
         "value",

@@ -2,6 +2,7 @@
 
 import json
 import math
+import random
 from pathlib import Path
 
 import numpy as np
@@ -172,6 +173,10 @@ def test_hot_keys(spark):
     assert sorted(r.row_no for r in numbered) == list(range(500)) and max(r.chunk for r in numbered) == 7
     assert [r.key for r in hot_keys.heavy_keys(hot_keys.key_totals(df, "label", "cnt"), 25).collect()] == [0]
     assert hot_keys.key_totals(df.limit(0), "label", "cnt").count() == 0
+    chance = F.udf(lambda: random.randrange(3), "int").asNondeterministic()
+    moving = spark.range(500).select(chance().alias("label"), F.lit(1).alias("cnt"))
+    with pytest.raises(Exception, match="different partitions"):
+        hot_keys.key_totals(moving, "label", "cnt").collect()
 
 
 def test_running_total(spark):
