@@ -258,6 +258,16 @@ def p4_found(spark, folder):
     return _clusters(spark, folder).select(F.col("id").alias("feature_id"), "cluster_id")
 
 
-@query()
+@query(
+    _CLUSTER_SQL
+    + """, k as (select cluster_id, count(*) as n_members from m group by 1 having count(*) >= 3),
+    x as (select m.id, cluster_id, cast(v as double[]) as v from m join p on p.id = m.id join k using (cluster_id)),
+    u as (select id, cluster_id, unnest(range(63)) as d, unnest(v) as val from x),
+    mu as (select cluster_id, d, avg(val) as mean from u group by 1, 2),
+    gp as (select cluster_id, id, round(sum((val - mean) * (val - mean)), 12) as gap from u join mu using (cluster_id, d) group by 1, 2),
+    r as (select cluster_id, id, row_number() over (partition by cluster_id order by gap, id) as r from gp)
+    select cluster_id, n_members, min(id) filter (where r = 1) as medoid_id, string_agg(cast(id as varchar), ',' order by r) as typical_ids
+    from r join k using (cluster_id) where r <= 3 group by cluster_id, n_members"""
+)
 def p4_clusters(spark, folder):
     return pivot_clusters.described(materialise(_clusters(spark, folder), "clusters"))
