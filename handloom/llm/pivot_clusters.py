@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from handloom.llm.poses import VALUES, lists, scaled_poses
+from handloom.llm.poses import VALUES, lists, packed, scaled_poses
 from handloom.operators.components import components
 from handloom.runtime import materialise, scratch, sendable, spread_join
 
@@ -36,7 +36,9 @@ DIRECTIONS = 16
 #: Poses of a cell that is not cut any more; more where there would be over MOST_LEAVES cells, which bounds what is sent.
 LEAF, MOST_LEAVES = 1024, 250_000
 #: Cuts of a cell in one pass over the poses, and the deviation along a direction under which cutting does not pay.
-CUTS, NARROW = 5, 2 * LIMIT
+CUTS, NARROW = 5, 1.3 * LIMIT
+#: Sums that a task holds before it passes them on.
+SUMS = 50_000
 #: Passes at most; cells grow smaller by a constant factor in each, so this only ends what rounding would carry on.
 PASSES = 40
 FIRST, FASTER = 4096, 8
@@ -44,19 +46,22 @@ SMALL = 8192
 BLOCK = 20_000
 BLOCK_BITS = 24
 STEP = 2048
+#: Of a sum of 63 products in single precision, with room to spare.
+ROUNDING = 1e-5
 EPS = 1e-6
 
 
 def usable(records: DataFrame) -> DataFrame:
-    """``(id, pose)`` of usable records, each feature_id once; of differing copies the one with the least hash."""
+    """``(id, pose)`` of usable records, poses packed, each feature_id once; of differing copies the one with the least hash."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok, _ = scaled_poses(b.column("pose"))
-            yield b.filter(pa.array(ok))
+            good = b.filter(pa.array(ok))
+            yield pa.RecordBatch.from_arrays([good.column("id"), packed(good.column("pose"))], ["id", "pose"])
 
-    slim = records.select(F.col("feature_id").alias("id"), F.col("aligned").alias("pose")).filter("id is not null and pose is not null")
-    return slim.mapInArrow(check, slim.schema).groupBy("id").agg(F.min_by("pose", F.xxhash64("pose")).alias("pose"))
+    slim = records.select(F.col("feature_id").cast("bigint").alias("id"), F.col("aligned").alias("pose")).filter("id is not null and pose is not null")
+    return slim.mapInArrow(check, "id bigint, pose binary").groupBy("id").agg(F.min_by("pose", F.xxhash64("pose")).alias("pose"))
 
 
 class Tree:
@@ -121,17 +126,28 @@ class Tree:
 
 
 def _sums(points: DataFrame, of: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]], width: int) -> DataFrame:
-    """``(key, s0, s1, ...)``: sums of numbers per key, made over batches and then over all."""
+    """``(key, s0, s1, ...)``: sums of numbers per key, made within each partition and then over all."""
+
+    def summed(key: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        keys, at = np.unique(key, return_inverse=True)
+        order = np.argsort(at, kind="stable")
+        starts = np.searchsorted(at[order], np.arange(len(keys)))
+        return keys, np.add.reduceat(values[order], starts, axis=0) if len(keys) else values
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for b in batches:
-            key, values = of(b)
-            keys, at = np.unique(key, return_inverse=True)
-            sums = np.zeros((len(keys), width))
-            order = np.argsort(at, kind="stable")
-            if len(order):
-                sums = np.add.reduceat(values[order], np.searchsorted(at[order], np.arange(len(keys))), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(c) for c in sums.T)], names)
+            held.append(summed(*of(b)))
+            n += len(held[-1][0])
+            if n > SUMS:
+                held = [summed(*map(np.concatenate, zip(*held, strict=True)))]
+                n = len(held[0][0])
+                if n > SUMS // 2:  # too many keys to hold: the shuffle adds up the rest
+                    yield pa.RecordBatch.from_arrays([pa.array(held[0][0]), *(pa.array(c) for c in held[0][1].T)], names)
+                    held, n = [], 0
+        if held:
+            key, sums = summed(*map(np.concatenate, zip(*held, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(c) for c in sums.T)], names)
 
     names = ["key", *(f"s{k}" for k in range(width))]
     schema = "key bigint, " + ", ".join(f"{n} double" for n in names[1:])
@@ -201,7 +217,7 @@ def placed(points: DataFrame, tree: Tree) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("pose"), pa.array(home)], ["id", "pose", "home"])
 
     spread = points.select("id", "pose", F.shiftrightunsigned(F.xxhash64("id"), 1).alias("spread"))
-    found = spread.mapInArrow(place, "id bigint, pose array<float>, home bigint")
+    found = spread.mapInArrow(place, "id bigint, pose binary, home bigint")
     found = materialise(found.repartitionByRange("home", "id").sortWithinPartitions("home", "id"), "points")
     width = tree.directions.shape[1]
     names = ["cell", *(f"{e}{d}" for e in ("least", "most") for d in range(width))]
@@ -224,16 +240,27 @@ def placed(points: DataFrame, tree: Tree) -> DataFrame:
     return found
 
 
-def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Euclidean, blocks of a against b; close ones are exact to rounding since poses are of unit scale."""
-    square = (a**2).sum(axis=1)[:, None] + (b**2).sum(axis=1)[None] - 2 * a @ b.T
-    near = square < 1e-3
-    if near.any():
-        i, j = np.nonzero(near)
-        for s in range(0, len(i), 1 << 16):
-            ii, jj = i[s : s + (1 << 16)], j[s : s + (1 << 16)]
-            square[ii, jj] = ((a[ii] - b[jj]) ** 2).sum(axis=1)
-    return np.sqrt(np.maximum(square, 0))
+def near_pairs(a: np.ndarray, b: np.ndarray, radius: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows of a, rows of b, distances) of all pairs within ``radius`` of b, in parts.
+
+    A product in single precision, with room for its error, picks the pairs; their distances are taken in double.
+    """
+    if not len(a) or not len(b):
+        return
+    middle = b.mean(axis=0)
+    a1, b1 = (a - middle).astype(np.float32), (b - middle).astype(np.float32)
+    aa, bb = (a1**2).sum(axis=1), (b1**2).sum(axis=1)
+    for s in range(0, len(b), STEP):
+        e = s + STEP
+        gap = a1 @ b1[s:e].T
+        gap *= -2
+        gap += (bb[s:e] * (1 - ROUNDING) - radius[s:e] ** 2 - 1e-6)[None].astype(np.float32)
+        i, j = np.nonzero(gap <= (-aa * (1 - ROUNDING))[:, None])
+        for t in range(0, len(i), 1 << 16):
+            ii, jj = i[t : t + (1 << 16)], j[t : t + (1 << 16)] + s
+            d = np.sqrt(((a[ii] - b[jj]) ** 2).sum(axis=1))
+            ok = d <= radius[jj]
+            yield ii[ok], jj[ok], d[ok]
 
 
 Kernel = Callable[[pa.Table, np.ndarray, pa.Table, np.ndarray], pa.Table]
@@ -346,32 +373,34 @@ def meet(left: DataFrame, right: DataFrame, tree: Tree, kernel: Kernel, schema:
     return found if whole else gather(found)
 
 
+def _limits(m: np.ndarray) -> np.ndarray:
+    return np.full(len(m), LIMIT)
+
+
 def _closest(lt: pa.Table, lm: np.ndarray, rt: pa.Table, rm: np.ndarray) -> pa.Table:
-    """Every left row with the closest right row within LIMIT, if any."""
+    """Every left row with the closest right row within LIMIT, if any; of equally close ones that of the lower id."""
     pivot, best = np.full(len(lm), -1), np.full(len(lm), np.inf)
     ids = rt.column("id").to_numpy()
-    order = np.argsort(ids)  # the first of equal distances is then that of the lower id
-    ids, rm = ids[order], rm[order]
-    for s in range(0, len(rm), STEP):
-        d = distances(lm, rm[s : s + STEP])
-        j = d.argmin(axis=1)
-        dj, ij = d[np.arange(len(d)), j], ids[s : s + STEP][j]
-        better = (dj < best) | ((dj == best) & (ij < pivot))
-        best[better], pivot[better] = dj[better], ij[better]
+    for i, j, d in near_pairs(lm, rm, _limits(rm)):
+        order = np.lexsort((ids[j], d, i))
+        i, first = np.unique(i[order], return_index=True)
+        d, j = d[order][first], ids[j[order][first]]
+        better = (d < best[i]) | ((d == best[i]) & (j < pivot[i]))
+        best[i[better]], pivot[i[better]] = d[better], j[better]
     none = pa.array(best > LIMIT)
     out = [pc.if_else(none, pa.scalar(None, t), pa.array(v, t)) for v, t in ((pivot, pa.int64()), (best, pa.float64()))]
     return lt.select(["id", "pose", "home"]).append_column("pivot", out[0]).append_column("far", out[1])
 
 
-CLOSEST = "id bigint, pose array<float>, home bigint, pivot bigint, far double"
+CLOSEST = "id bigint, pose binary, home bigint, pivot bigint, far double"
 
 
 def _beaten(lt: pa.Table, lm: np.ndarray, rt: pa.Table, rm: np.ndarray) -> pa.Table:
     """Left rows that have a similar right row of lesser hash."""
     lh, rh = lt.column("hash").to_numpy(), rt.column("hash").to_numpy()
     lost = np.zeros(len(lm), bool)
-    for s in range(0, len(rm), STEP):
-        lost |= ((distances(lm, rm[s : s + STEP]) <= LIMIT) & (rh[None, s : s + STEP] < lh[:, None])).any(axis=1)
+    for i, j, _ in near_pairs(lm, rm, _limits(rm)):
+        lost[i[rh[j] < lh[i]]] = True
     return lt.select(["id"]).filter(pa.array(lost))
 
 
@@ -379,13 +408,10 @@ def _facing(lt: pa.Table, lm: np.ndarray, rt: pa.Table, rm: np.ndarray) -> pa.Ta
     """Left rows with the pivots of other clusters that they are similar to, and those whose members may be."""
     own, other, reach = lt.column("pivot").to_numpy(), rt.column("id").to_numpy(), rt.column("radius").to_numpy()
     near, maybe = [], []
-    for s in range(0, len(rm), STEP):
-        d = distances(lm, rm[s : s + STEP])
-        strange = own[:, None] != other[None, s : s + STEP]
-        i, j = np.nonzero(strange & (d <= LIMIT))
-        near.append(np.stack([i, other[s + j]]))
-        i, j = np.nonzero(strange & (d > LIMIT) & (d <= reach[None, s : s + STEP] + EPS))
-        maybe.append(np.stack([i, other[s + j]]))
+    for i, j, d in near_pairs(lm, rm, reach + EPS):
+        strange = own[i] != other[j]
+        for found, ok in ((near, strange & (d <= LIMIT)), (maybe, strange & (d > LIMIT))):
+            found.append(np.stack([i[ok], other[j[ok]]]))
     columns, any_of = [], np.zeros(len(lm), bool)
     for found in (near, maybe):
         i, b = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
@@ -399,18 +425,16 @@ def _facing(lt: pa.Table, lm: np.ndarray, rt: pa.Table, rm: np.ndarray) -> pa.Ta
     return out.filter(pa.array(any_of))
 
 
-FACING = "id bigint, pose array<float>, home bigint, pivot bigint, near array<bigint>, maybe array<bigint>"
+FACING = "id bigint, pose binary, home bigint, pivot bigint, near array<bigint>, maybe array<bigint>"
 
 
 def _links(lt: pa.Table, lm: np.ndarray, rt: pa.Table, rm: np.ndarray) -> pa.Table:
     """Pairs of clusters, as joined so far, that have similar members; each once per call."""
     lp, rp = lt.column("whole").to_numpy(), rt.column("whole").to_numpy()
     found = [np.empty((0, 2), np.int64)]
-    for s in range(0, len(rm), STEP):
-        theirs = rp[s : s + STEP]
-        open_ = np.nonzero(~np.isin(lp, theirs[0]) if (theirs == theirs[0]).all() else np.ones(len(lp), bool))[0]
-        i, j = np.nonzero((distances(lm[open_], rm[s : s + STEP]) <= LIMIT) & (lp[open_][:, None] < theirs[None]))
-        found.append(np.unique(np.stack([lp[open_][i], theirs[j]], axis=1), axis=0))
+    for i, j, _ in near_pairs(lm, rm, _limits(rm)):
+        ok = lp[i] < rp[j]
+        found.append(np.unique(np.stack([lp[i[ok]], rp[j[ok]]], axis=1), axis=0))
     pairs = np.unique(np.concatenate(found), axis=0)
     return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
@@ -480,7 +504,7 @@ def touching(members: DataFrame, sizes: DataFrame, tree: Tree) -> DataFrame:
 def clusters(records: DataFrame, least: int = 3) -> DataFrame:
     """``(id, pose, cluster_id)`` of every record in a cluster of at least ``least`` members, one row each.
 
-    cluster_id is the cluster's smallest id.
+    cluster_id is the cluster's smallest id; pose is packed into bytes.
 
     * null ids, null, short, non-finite and all-zero poses: left out; a record delivered again: once;
     * equal poses: similar, at distance 0; equal distances to two pivots: the lower id; empty input: no row;

@@ -14,8 +14,12 @@ UNIT = slice(27, 30)
 def scaled_poses(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(usable, matrix of the usable): 63 finite values, not all zero, divided by the length of landmark 9.
 
-    Null poses, null entries, other lengths and poses whose landmark 9 has no length are not usable.
+    Null poses, null entries, other lengths and poses whose landmark 9 has no length are not usable. ``column`` holds lists,
+    or usable poses as ``packed`` gives them.
     """
+    if pa.types.is_binary(column.type):
+        m = _unpacked(column)
+        return np.ones(len(m), bool), m / np.sqrt((m[:, UNIT] ** 2).sum(axis=1))[:, None]
     right = pc.fill_null(pc.equal(pc.list_value_length(column), VALUES), False)
     ok = right.to_numpy(zero_copy_only=False).astype(bool)
     flat = pc.list_flatten(column.filter(right))
@@ -26,6 +30,22 @@ def scaled_poses(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return ok, m[good] / unit[good][:, None]
 
 
+def packed(column: pa.Array) -> pa.Array:
+    """Usable poses as bytes: to the JVM each is one value, where a list is 63. Precision stays as it is."""
+    values = pc.list_flatten(column).to_numpy(zero_copy_only=False)
+    ends = np.arange(len(column) + 1, dtype=np.int32) * (VALUES * values.itemsize)
+    return pa.Array.from_buffers(pa.binary(), len(column), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _unpacked(column: pa.Array) -> np.ndarray:
+    n = len(column)
+    if not n:
+        return np.empty((0, VALUES))
+    first, second = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + 2]
+    kind = np.float32 if second - first == 4 * VALUES else np.float64
+    return np.frombuffer(column.buffers()[2], kind, n * VALUES, int(first)).astype(np.float64).reshape(n, VALUES)
+
+
 def lists(matrix: np.ndarray, kind=pa.float64()) -> pa.ListArray:
     """Rows of a matrix as a list column."""
     ends = pa.array(np.arange(len(matrix) + 1, dtype=np.int32) * matrix.shape[1])
