@@ -80,10 +80,10 @@ def out_of_model(codes: DataFrame, model: DataFrame) -> DataFrame:
 
 
 class Classes:
-    """A model's classes by label, at most MOST_CLASSES: the bound of what every task gets."""
+    """A model's classes by label, those with a null left out; at most MOST_CLASSES: the bound of what every task gets."""
 
     def __init__(self, model: DataFrame):
-        rows = model.select("label", "m_bend", "m_spread").filter("m_bend is not null and m_spread is not null")
+        rows = model.select("label", "m_bend", "m_spread").dropna()
         found = rows.orderBy("label").limit(MOST_CLASSES + 1).toPandas()
         if len(found) > MOST_CLASSES:
             raise ValueError(f"a model of more than {MOST_CLASSES} classes")
