@@ -31,7 +31,7 @@ def spark():
 
 
 #: Names that operators use inside, as columns of the input.
-CLASHING = "key value chunk n part place rank offset total k g s d w a b m e v p i who copy served words area item size pos start body state base pivot cluster".split()
+CLASHING = "key value chunk n part place rank offset total k g s d w a b m e v p i who copy served words area item size pos start body state base pivot cluster home parts range rounds supply near maybe spread whole by at grp".split()
 
 
 def _hostile(table):

@@ -3,6 +3,7 @@
 import json
 import math
 import random
+from collections import Counter
 from pathlib import Path
 
 import numpy as np
@@ -475,6 +476,15 @@ def test_projection_of_whole_groups(spark):
         assert np.allclose([got[i] for i in range(k, 60, 2)], m @ two.T)
 
 
+def test_a_reducer_gets_a_sample_of_each_group(spark):
+    data = [(i, "ab"[i % 4 == 0], [float(i)] * 63) for i in range(80)] + [(90 + i, "c", [0.0] * 63) for i in range(3)]
+    df = spark.createDataFrame(data, "id bigint, g string, aligned array<double>")
+    first = lambda pdf: pdf.assign(x=[a[0] for a in pdf["aligned"]], y=float(len(pdf)))
+    got = reduce.per_group(df, "g", "id", first, n=15).collect()
+    assert Counter(r.g for r in got) == {"a": 15, "b": 15} and all(r.x == r.id and r.y == 15 for r in got)
+    assert rows(reduce.per_group(df.repartition(3), "g", "id", first, n=15)) == sorted(map(tuple, got), key=str)
+
+
 def test_kmeans_models_are_kept_and_judged(spark, tmp_path):
     from pyspark.ml import PipelineModel
 
