@@ -355,6 +355,22 @@ def class_report(spark, folder):
     return pipeline.report(coded, codebook.train(coded, 256), 20)
 
 
+@query(
+    f"""with {o.FRAMES}, {o.theta_ctes()}, {o.code_ctes()}, {_RANKED},
+    sm as (select code, file, frame_idx, row_number() over (partition by code order by file, frame_idx) as sample from co)
+    select 0 as rnk, 0 as sample, printf('%d recordings, %d frames, %d distinct codes', count(distinct file), count(*), count(distinct code)) as text from co
+    union all select cast(label + 1 as int), 0, printf('#%d label %d, %d frames, code %s', label + 1, label, cnt, code) || chr(10)
+      || '  bending ' || {_states_sql(0, 9)} || chr(10) || '  spread ' || {_states_sql(9, 13)} from tk where label < 20
+    union all select cast(label + 1 as int), cast(sample as int), printf('  sample %d: %s frame %d', sample, file, frame_idx)
+      from tk join sm using (code) where sample <= 3 and label < 20"""
+)
+def class_report_heads(spark, folder):
+    """The report without the points and angles under each sample."""
+    coded = materialise(_codes(spark, folder), "codes")
+    text = F.substring_index("text", "\n    point", 1)
+    return pipeline.report(coded, codebook.train(coded, 256), 20).select("rnk", "sample", text.alias("text"))
+
+
 _BYTE = "list_sum(list_transform(range(8), lambda j: case when substr(code, cast(8 * b + j + 1 as bigint), 1) = '1' then (1 << cast(j as int)) else 0 end))"
 
 
