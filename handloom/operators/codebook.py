@@ -59,8 +59,11 @@ def train(codes: DataFrame, top_k: int | None = 1024) -> DataFrame:
 
 
 def histogram(model: DataFrame, n: int | None = 20) -> DataFrame:
-    """``(rnk, label, code, cnt, bending_states, spread_states)`` of the ``n`` most frequent classes; ties by label."""
-    order = [F.desc("cnt"), F.asc("label")]
+    """``(rnk, label, code, cnt, bending_states, spread_states)`` of the ``n`` most frequent classes.
+
+    Equal counts are ranked by label, then by code; nulls come last.
+    """
+    order = [F.desc("cnt"), F.asc_nulls_last("label"), F.asc_nulls_last("code")]
     top = model.orderBy(*order)
     top = top.limit(n) if n is not None else top
     bending, spread = all_state_names(F.col("code"))

@@ -168,7 +168,7 @@ def mirror_swap(spark, folder):
     return swapped.select("feature_id", "label", F.get("aligned", F.lit(0)).cast("double").alias("a1"), *parts)
 
 
-@query("with h as (select feature_id, any_value(label) as label from hand_features group by 1) select feature_id, case when label = 'Right' then 'Left' else 'Right' end as handedness from h")
+@query("with h as (select feature_id, any_value(label) as label from hand_features where feature_id is not null group by 1) select feature_id, case when label = 'Right' then 'Left' else 'Right' end as handedness from h")
 def handedness_flip(spark, folder):
     return _features(spark, folder).select("feature_id", pose.flip_handedness(F.col("label")).alias("handedness"))
 
@@ -313,8 +313,8 @@ def _states_sql(first: int, last: int) -> str:
 
 
 @query(
-    f"""select cast(row_number() over (order by cnt desc, label) as int) as rnk, label, code, cnt, {_states_sql(0, 9)} as bending_states,
-    {_states_sql(9, 13)} as spread_states from model order by cnt desc, label limit 20"""
+    f"""select cast(row_number() over (order by cnt desc, label, code) as int) as rnk, label, code, cnt, {_states_sql(0, 9)} as bending_states,
+    {_states_sql(9, 13)} as spread_states from model order by cnt desc, label, code limit 20"""
 )
 def codebook_histogram(spark, folder):
     return codebook.histogram(table(spark, folder, "model"), 20)

@@ -94,11 +94,14 @@ _X, _Y, _Z = vectors("x_vec", "y_vec", "z_vec")
 HANDEDNESS = dot(cross(_X, _Y), _Z)
 HAND = f"case when isnan({HANDEDNESS}) then null when {HANDEDNESS} < 0 then 'L' when {HANDEDNESS} >= 0 then 'R' end"
 
-#: ``pr``: codes with their token, by lookup or best overlap with the lowest label.
-PREDICT = """un as (select distinct code, m_bend, m_spread from co where code not in (select code from model)),
-ov as (select un.code, label, bit_count(un.m_bend & model.m_bend) + bit_count(un.m_spread & model.m_spread) as overlap from un, model),
+#: ``pr``: codes with their token, by lookup or best overlap with the lowest label. Classes with a null are no classes.
+PREDICT = """md as (
+  select code, m_bend, m_spread, min(label) as label from model
+  where code is not null and m_bend is not null and m_spread is not null and label is not null group by code, m_bend, m_spread),
+un as (select distinct code, m_bend, m_spread from co where code not in (select code from md)),
+ov as (select un.code, label, bit_count(un.m_bend & md.m_bend) + bit_count(un.m_spread & md.m_spread) as overlap from un, md),
 bo as (select code, min(label) as token, any_value(overlap) as overlap from ov where overlap = (select max(overlap) from ov x where x.code = ov.code) group by code),
-pr as (select co.*, coalesce(model.label, bo.token) as token from co left join model on model.code = co.code left join bo on bo.code = co.code)"""
+pr as (select co.*, coalesce(md.label, bo.token) as token from co left join md on md.code = co.code left join bo on bo.code = co.code)"""
 
 TRACKS = """tr as (select distinct file, frame_idx, hand, token from tokens where hand in ('L', 'R') and token is not null and frame_idx is not null)"""
 
