@@ -209,9 +209,9 @@ def p8_shares(spark, folder):
 
 
 def _subjects(spark, folder):
-    docs = table(spark, folder, "documents")
-    rules = subjects.learn(docs, table(spark, folder, "subject_labels"), table(spark, folder, "subject_areas"))
-    return subjects.area_shares(docs, rules)
+    said = materialise(subjects.dialogue(table(spark, folder, "documents")), "dialogue")
+    rules = subjects.learn_said(said, table(spark, folder, "subject_labels"), table(spark, folder, "subject_areas"))
+    return subjects.shares_said(said, rules)
 
 
 @query()

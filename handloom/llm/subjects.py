@@ -9,7 +9,8 @@ cues that surely deal with the area reach, since a label speaks of a document an
 deals with the area of its strongest matching rule if that is likelier than not; an area holds for a document from a
 quarter of its spoken cues on.
 
-Only mining looks at a sample, of at most ``LABELLED`` labelled documents; every document is scored whole.
+Mining takes two rounds, whatever the number of documents: all labelled ones first, then they and all others together, the
+others with the areas that the rules of the first round find in them. Texts are read once; equal cues are mined as one row.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from __future__ import annotations
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import combinations
 
 import pyarrow as pa
@@ -26,11 +28,6 @@ from pyspark.sql import functions as F
 from handloom.llm.subtitles import spoken_words
 from handloom.runtime import materialise, sendable
 
-#: Labelled documents that rules are mined from, the first by hash of doc_id.
-LABELLED = 20_000
-#: Where fewer documents are labelled, others by hash of doc_id, up to so many in all, are given the areas that the rules
-#: of the first mining find in them, and mined along.
-MINED = 2_000
 #: Cues that must hold the words of a rule and deal with its area.
 LEAST_CUES = 3
 LEAST_CONFIDENCE = 0.4
@@ -40,8 +37,9 @@ LEAST_LIFT = 1.5
 GAIN = 0.05
 #: Words of a rule. A rule needs GAIN on all of its parts, and the fourth word of a cue seldom gives it.
 LONGEST = 3
-#: Groups that the items of an area are dealt to.
+#: Groups that the items of an area are dealt to, at least, and occurrences of items from which on there are more groups.
 GROUPS = 64
+GROUP_ROWS = 1_000_000
 SHARE = 0.25
 
 
@@ -64,43 +62,40 @@ class Rules:
         return area
 
 
-def labelled(labels: DataFrame, areas: DataFrame, limit: int = LABELLED) -> DataFrame:
-    """``(doc_id, areas)`` of at most ``limit`` labelled documents."""
+def labelled(labels: DataFrame, areas: DataFrame) -> DataFrame:
+    """``(doc_id, areas)`` of the labelled documents, without areas if their labels name none."""
     named = areas.select("subject").filter("subject is not null").distinct()
     known = labels.filter("doc_id is not null and subject is not null").join(
         sendable(named).withColumn("is_area", F.lit(True)), "subject", "left"
     )
-    return (
-        known.groupBy("doc_id")
-        .agg(F.array_sort(F.collect_set(F.when(F.col("is_area"), F.col("subject")))).alias("areas"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(limit)
-    )
-
+    return known.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.when(F.col("is_area"), F.col("subject")))).alias("areas"))
 
-def sample_cues(docs: DataFrame, sample: DataFrame, rules: Rules | None = None) -> DataFrame:
-    """``(areas, words)``, one row per spoken cue of a sampled document. Uploads that say the same count once.
 
-    Documents without areas in the sample get those that ``rules`` find in them.
-    """
-    texts = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(sample), "doc_id")  # bounded by its limit
+def dialogue(docs: DataFrame) -> DataFrame:
+    """``(doc_id, said)`` of every text: a line for each spoken cue, with its words between blanks."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            said = [spoken_words(text) for text in b.column("text").to_pylist()]
-            areas = b.column("areas").to_pylist()
-            if rules:
-                areas = [have if have is not None else _held(rules, cues) for have, cues in zip(areas, said, strict=True)]
-            columns = [pa.array(areas, pa.list_(pa.string())), pa.array(said, pa.list_(pa.list_(pa.string())))]
-            yield pa.RecordBatch.from_arrays(columns, ["areas", "cues"])
+            said = ["".join(" ".join(cue) + "\n" for cue in spoken_words(text)) for text in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(said, pa.string())], ["doc_id", "said"])
 
-    said = texts.select("areas", "text").mapInArrow(parse, "areas array<string>, cues array<array<string>>").distinct()
-    return said.select("areas", F.explode("cues").alias("words"))
+    return docs.select("doc_id", "text").filter("text is not null").mapInArrow(parse, "doc_id bigint, said string")
 
 
-def _held(rules: Rules, cues: list[list[str]]) -> list[str]:
-    counts = Counter(filter(None, map(rules.area_of, cues)))
-    return sorted(a for a, n in counts.items() if n >= SHARE * len(cues))
+def _area_counts(rules: Rules, said: pa.Array) -> Iterator[tuple[Counter, int]]:
+    """Cues of each area and all cues, of each text. Cues that were just met are not matched again."""
+    area_of = lru_cache(1 << 16)(lambda cue: rules.area_of(cue.split()))
+    for text in said.to_pylist():
+        cues = text.split("\n")[:-1]
+        yield Counter(filter(None, map(area_of, cues))), len(cues)
+
+
+def weighed(uploads: DataFrame) -> DataFrame:
+    """``(areas, words, n)`` of the spoken cues of ``uploads``, equal ones as one row."""
+    lines = F.split(F.expr("substring(said, 1, length(said) - 1)"), "\n")  # the last one ends like the others
+    each = uploads.filter("said <> ''").select("areas", F.explode(lines).alias("cue"))
+    equal = each.groupBy("areas", "cue").agg(F.count(F.lit(1)).alias("n"))
+    return equal.select("areas", F.filter(F.split("cue", " "), lambda w: w != "").alias("words"), "n")
 
 
 Base = list[tuple[list[int], int, int]]
@@ -138,43 +133,46 @@ def mine(cues: DataFrame) -> tuple[list[tuple[frozenset[str], str, float, float]
 
     A cue is one transaction for each area that some of its words tell of: those words, and whether its document has the
     area. Words of one area are thus mined with that area's tag alone, and sets of several tags never arise. The work for
-    a cue grows with the cube of its telling words at most, LONGEST being 3.
+    a cue grows with the cube of its telling words at most, LONGEST being 3. A column ``n`` says how often a cue counts.
     """
-    n = cues.count()
-    counted = cues.select(F.explode("areas").alias("area")).groupBy("area").agg(F.count(F.lit(1)).alias("n")).collect()
+    if "n" not in cues.columns:
+        cues = cues.withColumn("n", F.lit(1))
+    n = cues.agg(F.sum("n")).first()[0]
+    counted = cues.select(F.explode("areas").alias("area"), "n").groupBy("area").agg(F.sum("n").alias("n")).collect()
     chance = {r.area: r.n / n for r in counted}
     if not chance:
         return [], chance
     base = F.create_map(*(F.lit(x) for kv in chance.items() for x in kv))
-    each = cues.select("areas", F.explode("words").alias("word"))
-    total = each.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    by_area = each.select("word", F.explode("areas").alias("area")).groupBy("word", "area").agg(F.count(F.lit(1)).alias("k"))
+    each = cues.select("areas", "n", F.explode("words").alias("word"))
+    total = each.groupBy("word").agg(F.sum("n").alias("n"))
+    by_area = each.select("word", "n", F.explode("areas").alias("area")).groupBy("word", "area").agg(F.sum("n").alias("k"))
     telling = by_area.join(total, "word").filter(
         (F.col("k") >= LEAST_CUES) & (F.col("k") / F.col("n") >= LEAST_LIFT * base[F.col("area")])
     )
-    found = sorted(telling.collect(), key=lambda r: (-r.n, r.word, r.area))  # of a bounded sample's vocabulary
+    found = sorted(telling.collect(), key=lambda r: (-r.n, r.word, r.area))  # of the vocabulary, what tells of an area
     rules = [(frozenset([r.word]), r.area, r.k / r.n, float(r.n)) for r in found if r.k / r.n >= LEAST_CONFIDENCE]
     areas_of = defaultdict(dict)  # items are numbers, the most frequent first
     for i, r in enumerate(found):
         areas_of[r.word][r.area] = i
+    groups = max(GROUPS, sum(r.n for r in found) // GROUP_ROWS)
     shared = cues.sparkSession.sparkContext.broadcast((dict(areas_of), [(r.n, r.k) for r in found]))
 
     def transactions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         areas_of, _ = shared.value
         for b in batches:
             out = []
-            for have, words in zip(b.column("areas").to_pylist(), b.column("words").to_pylist(), strict=True):
+            for have, words, m in zip(*(b.column(c).to_pylist() for c in ("areas", "words", "n")), strict=True):
                 by = defaultdict(list)
                 for w in words:
                     for a, i in areas_of.get(w, {}).items():
                         by[a].append(i)
                 for a, items in by.items():
                     items.sort()
-                    last = {i % GROUPS: at for at, i in enumerate(items) if at}
-                    out += [(a, g, items[: at + 1], a in have) for g, at in last.items()]
-            columns = zip(*out, strict=True) if out else [[]] * 4
-            kinds = [pa.string(), pa.int32(), pa.list_(pa.int32()), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], ["area", "grp", "items", "tagged"])
+                    last = {i % groups: at for at, i in enumerate(items) if at}
+                    out += [(a, g, items[: at + 1], m, m if a in have else 0) for g, at in last.items()]
+            columns = zip(*out, strict=True) if out else [[]] * 5
+            kinds = [pa.string(), pa.int32(), pa.list_(pa.int32()), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], ["area", "grp", "items", "n", "k"])
 
     def patterns(group: pa.Table) -> pa.Table:
         _, counts = shared.value
@@ -182,7 +180,7 @@ def mine(cues: DataFrame) -> tuple[list[tuple[frozenset[str], str, float, float]
         g, bases = group.column("grp")[0].as_py(), defaultdict(list)
         for items, m, k in zip(*(group.column(c).to_pylist() for c in ("items", "n", "k")), strict=True):
             for at, i in enumerate(items):
-                if at and i % GROUPS == g:
+                if at and i % groups == g:
                     bases[i].append((items[:at], m, k))
         out = []
         for i, before in bases.items():
@@ -194,9 +192,9 @@ def mine(cues: DataFrame) -> tuple[list[tuple[frozenset[str], str, float, float]
         kinds = [pa.list_(pa.int32()), pa.int64(), pa.int64()]
         return pa.table([area, *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=["area", "items", "n", "k"])
 
-    dealt = cues.select("areas", "words").mapInArrow(transactions, "area string, grp int, items array<int>, tagged boolean")
-    weighed = dealt.groupBy("area", "grp", "items").agg(F.count(F.lit(1)).alias("n"), F.count_if("tagged").alias("k"))
-    joint = weighed.groupBy("area", "grp").applyInArrow(patterns, "area string, items array<int>, n bigint, k bigint")
+    dealt = cues.select("areas", "words", "n").mapInArrow(transactions, "area string, grp int, items array<int>, n bigint, k bigint")
+    equal = dealt.groupBy("area", "grp", "items").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    joint = equal.groupBy("area", "grp").applyInArrow(patterns, "area string, items array<int>, n bigint, k bigint")
     rules += [(frozenset(found[i].word for i in r["items"]), r.area, r.k / r.n, float(r.n)) for r in joint.collect()]
     return rules, chance
 
@@ -229,16 +227,27 @@ def calibrate(mined, chance: dict[str, float]) -> Rules:
     return Rules(single, dict(joint))
 
 
-def learn(docs: DataFrame, labels: DataFrame, areas: DataFrame, limit: int = LABELLED) -> Rules:
-    known = materialise(labelled(labels, areas, limit), "labelled")
-    cues = materialise(sample_cues(docs, known), "cues")
+def learn(docs: DataFrame, labels: DataFrame, areas: DataFrame) -> Rules:
+    return learn_said(materialise(dialogue(docs), "dialogue"), labels, areas)
+
+
+def learn_said(said: DataFrame, labels: DataFrame, areas: DataFrame) -> Rules:
+    """Rules from all of ``said`` (what ``dialogue`` gives, read twice: pass it materialised). Uploads that say the same count once."""
+    known = sendable(materialise(labelled(labels, areas), "labelled"))
+    uploads = said.filter("doc_id is not null").join(known, "doc_id", "left").select("areas", "said").distinct()
+    uploads = materialise(uploads, "uploads")
+    cues = materialise(weighed(uploads.filter("areas is not null")), "cues")
     rules = calibrate(*mine(cues))
-    more = MINED - known.count()
-    if more > 0 and rules.single:
-        others = docs.select("doc_id").filter("doc_id is not null").distinct().join(F.broadcast(known), "doc_id", "left_anti")
-        others = others.orderBy(F.xxhash64("doc_id"), "doc_id").limit(more).withColumn("areas", F.lit(None).cast("array<string>"))
-        rules = calibrate(*mine(materialise(cues.unionByName(sample_cues(docs, others, rules)), "cues")))
-    return rules
+    if not rules.single and not rules.joint:
+        return rules
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held = [sorted(a for a, k in counts.items() if k >= SHARE * n) for counts, n in _area_counts(rules, b.column("said"))]
+            yield pa.RecordBatch.from_arrays([pa.array(held, pa.list_(pa.string())), b.column("said")], ["areas", "said"])
+
+    others = uploads.filter("areas is null").mapInArrow(find, "areas array<string>, said string")
+    return calibrate(*mine(materialise(cues.unionByName(weighed(others)), "cues")))
 
 
 def area_shares(docs: DataFrame, rules: Rules) -> DataFrame:
@@ -248,28 +257,25 @@ def area_shares(docs: DataFrame, rules: Rules) -> DataFrame:
     * a cue repeated with its times: once; equal likelihoods: the first word by alphabet decides;
     * no labels: no rules, so no row; further columns are not carried on.
     """
-    spread = docs.sparkSession.sparkContext.broadcast(rules)
+    return shares_said(dialogue(docs), rules)
+
+
+def shares_said(said: DataFrame, rules: Rules) -> DataFrame:
+    """``area_shares`` of what ``dialogue`` gives."""
+    spread = said.sparkSession.sparkContext.broadcast(rules)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r = spread.value
         for b in batches:
             at, subject, hits, whole = [], [], [], []
-            for i, text in enumerate(b.column("text").to_pylist()):
-                dialogue = spoken_words(text)
-                counts: dict[str, int] = {}
-                for cue in dialogue:
-                    area = r.area_of(cue)
-                    if area:
-                        counts[area] = counts.get(area, 0) + 1
+            for i, (counts, n) in enumerate(_area_counts(spread.value, b.column("said"))):
                 for a, k in counts.items():
                     at.append(i)
                     subject.append(a)
                     hits.append(k)
-                    whole.append(len(dialogue))
+                    whole.append(n)
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id").take(pa.array(at, pa.int64())), pa.array(subject, pa.string()), pa.array(hits, pa.int64()), pa.array(whole, pa.int64())],
                 ["doc_id", "subject", "n_cues", "n_spoken"],
             )
 
-    texts = docs.select("doc_id", "text").filter("text is not null")
-    return texts.mapInArrow(score, "doc_id bigint, subject string, n_cues bigint, n_spoken bigint")
+    return said.mapInArrow(score, "doc_id bigint, subject string, n_cues bigint, n_spoken bigint")

@@ -429,3 +429,33 @@ def test_areas_of_held_out_documents(spark):
     assert np.mean([got[i] == truth[i] for i in got]) >= 0.9
     nothing = subjects.learn(docs, labels.limit(0), areas)
     assert subjects.area_shares(docs, nothing).count() == 0
+
+
+def _subtitles(rows):
+    """``(doc_id, text)`` of ``(doc_id, lines)``."""
+    return [(i, "\n".join(f"{k}\n00:00:{k:02d},000 --> 00:00:{k:02d},900\n{line}\n" for k, line in enumerate(lines))) for i, lines in rows]
+
+
+@pytest.mark.parametrize("n_labelled", [20, 2100])
+def test_other_documents_are_mined_along_however_many_are_labelled(spark, n_labelled):
+    odd = [f"{''.join(chr(97 + int(d)) for d in f'{i:04d}')} nothing today" for i in range(n_labelled)]  # no upload twice
+    rows = [(i, ["The verdict stands." if i % 2 else "It rains again.", odd[i]]) for i in range(n_labelled)]
+    rows += [(5000 + i, ["The verdict, plaintiff.", f"Weather {'x' * (i + 3)}."]) for i in range(40)]  # without a label
+    rows += [(6000 + i, ["It rains again.", f"Weather {'y' * (i + 3)}."]) for i in range(60)]
+    rows += [(9000, ["Plaintiff.", "Nobody here."])]
+    docs = spark.createDataFrame(_subtitles(rows), "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, "law" if i % 2 else "none") for i in range(n_labelled)], "doc_id bigint, subject string")
+    rules = subjects.learn(docs, labels, spark.createDataFrame([("law", "")], "subject string, gloss string"))
+    assert rules.single["verdict"][0] == "law"
+    assert [r.subject for r in subjects.area_shares(docs, rules).filter("doc_id = 9000").collect()] == ["law"]
+
+
+def test_rules_come_from_all_labelled_documents(spark):
+    ids = spark.range(20_100).orderBy(F.xxhash64("id"), "id").collect()
+    law = {r.id for r in ids[-20:]}  # the last by hash
+    rows = [(r.id, ["The verdict stands." if r.id in law else "It rains again.", "".join(chr(97 + int(d)) for d in f"{r.id:05d}")]) for r in ids]
+    docs = spark.createDataFrame(_subtitles(rows), "doc_id bigint, text string")
+    labels = spark.createDataFrame([(r.id, "law" if r.id in law else "none") for r in ids], "doc_id bigint, subject string")
+    rules = subjects.learn(docs, labels, spark.createDataFrame([("law", "")], "subject string, gloss string"))
+    found = subjects.area_shares(docs, rules).select("doc_id").distinct().collect()
+    assert law <= {r.doc_id for r in found}
